@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import exact_dedup, mixing, topk
+from pathloom.llm import exact_dedup, html_text, mixing, packing, token_files, topk
 from pathloom.llm.common import table
+from pathloom.llm.encoding import public_vocabulary
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_files.write_token_files(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
+    return token_files.read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"), window=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     rows = rows.select("vec_id", topk.integer_vector(F.col("embedding")).alias("vector"))
@@ -26,7 +41,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_html_text": op3_html_text,
     "op5_mixing": op5_mixing,
+    "op6_token_files": op6_token_files,
+    "op8_packing": op8_packing,
     "op10_topk": op10_topk,
 }
 
