@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import exact_dedup, html_text, mixing, packing, token_files, topk, toxicity
+from pathloom.llm import exact_dedup, html_text, mixing, near_dedup, packing, token_files, topk, toxicity
 from pathloom.llm.common import fold, table
 from pathloom.llm.encoding import public_vocabulary
 
@@ -38,6 +38,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     rows = rows.select("vec_id", topk.integer_vector(F.col("embedding")).alias("vector"))
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_topk": op10_topk,
 }
 
