@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import exact_dedup, html_text, mixing, near_dedup, packing, token_files, topk, toxicity
+from pathloom.llm import exact_dedup, html_text, mixing, near_dedup, packing, pii, token_files, topk, toxicity
 from pathloom.llm.common import fold, table
 from pathloom.llm.encoding import public_vocabulary
 
@@ -33,6 +33,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"), window=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_topk": op10_topk,
