@@ -44,9 +44,9 @@ def inverse_demand(share: Column, knots: Sequence[tuple[float, float]]) -> Colum
     return out
 
 
-def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, cell_digits: int) -> DataFrame:
+def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str, cell_digits: int) -> DataFrame:
     """doc_id, source, size (words) and the key that fixes the order inside a source, with its cell."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary"))
     return df.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -102,12 +102,13 @@ def mix(
     cap: int = 3,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     cell_digits: int = 3,
+    key_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, uses.
 
     ``uses`` lists the passes in which the document takes part: pass number,
     words taken in it, and position (0..1) in training time.  A source is read
-    in the order of a hash of the id, again and again until its target is
+    in the order of a hash of the id (or of ``key_col``), again and again until its target is
     reached; the document at the end of the last pass gives the words that are
     still wanted, so a source's words are its target rounded down.  ``taken``
     is the sum of the words over the passes.
@@ -118,7 +119,7 @@ def mix(
     the order.  Other columns of the input are not looked at.  An empty table
     gives an empty result.  Reruns give the same rows.
     """
-    rows = keep(sizes(df, id_col, text_col, source_col, cell_digits))
+    rows = keep(sizes(df, id_col, text_col, source_col, key_col or id_col, cell_digits))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     goal = targets(cells, weights, cap)
