@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 
 #: Two white-space characters in a row; Python's class holds the library's and more, so this errs to the safe side.
 _RUN = re.compile(r"\s\s")
+#: White space other than the blank and the line feed.
+_ODD = [c for c in map(chr, [*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _TAIL = ".,!?;:%$#&*|\"()[]-/"
 
@@ -48,11 +50,11 @@ class Encoder:
     anew, which costs time and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True
         self._model, self._pre, self._norm = self._t.model, self._t.pre_tokenizer, self._t.normalizer
-        self._letters = _byte_letters()
+        self._letters = dict(enumerate(_byte_letters()))
         #: With a normalizer, white space only separates words; without, a space belongs to the word that follows.
         self.spaceless = self._norm is not None
         self._first = _Cache(self._piece, limit)
@@ -70,24 +72,30 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """One piece; a plain Latin-1 word, with or without punctuation after it, needs no regex."""
-        start = 1 if piece.startswith(" ") else 0
+        space = piece[:1] == " "
         core = piece.rstrip(_TAIL)
-        if not core[start:].isalpha() or max(core) > "\xff":
+        word = core[1:] if space else core
+        if not word.isalpha():
             return self._general(piece)
-        letters = self._letters
-        # in Latin-1, NFC changes nothing, and lower case is one letter for one letter
-        word = (core.lower() if self._norm is not None else core).encode()
-        ids = self._model_ids("".join([letters[b] for b in word]))
+        if self._norm is not None:
+            word = word.lower()
+        if not word.isascii():
+            if max(core) > "\xff":
+                return self._general(piece)
+            # in Latin-1, NFC changes nothing, and lower case is one letter for one letter
+            word = word.encode().decode("latin-1").translate(self._letters)
+        # ASCII letters and punctuation stand for themselves in a byte-level vocabulary, and a dotted G for the blank
+        found = self._model.tokenize("\u0120" + word if space else word)
         if len(core) < len(piece):
-            ids += self._model_ids("".join([letters[b] for b in piece[len(core) :].encode()]))
-        return pack(f"<{len(ids)}I", *ids)
+            found += self._model.tokenize(piece[len(core) :])
+        return pack(f"<{len(found)}I", *[t.id for t in found])
 
     def encode(self, text: str) -> bytes:
         later = self._later.__getitem__
         if self.spaceless:
             # white space never joins tokens, so every blank is a place to cut
             return b"".join(map(later, text.replace("\n", " ").split(" ")))
-        if _RUN.search(text):
+        if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in (_ODD[:8] if text.isascii() else _ODD))) and _RUN.search(text):
             # a blank between two other characters is always the start of a token
             return b"".join(map(self._first.__getitem__, _SAFE_CUT.split(text)))
         parts: list[bytes] = []
@@ -103,7 +111,7 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, limit: int = 400_000) -> Encoder:
+def encoder(path: str, limit: int = 600_000) -> Encoder:
     """This process's encoder for a vocabulary file."""
     if (path, limit) not in _encoders:
         _encoders[path, limit] = Encoder(path, limit)

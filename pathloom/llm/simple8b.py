@@ -53,9 +53,13 @@ def pack_words(ids: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarra
     if block < 1 or block > 128:
         raise ValueError("a block has 1 to 128 ids")
     blocks = -(-len(ids) // block)
-    values = np.zeros(blocks * block + 128, np.uint64)
-    values[: len(ids)] = ids
-    grid = values[: blocks * block].reshape(blocks, block)
+    span = block + 120  # a word may start at the last place of a block and covers zeros beyond
+    cells = np.zeros((blocks, span), np.uint64)
+    whole = len(ids) // block
+    cells[:whole, :block] = np.asarray(ids[: whole * block]).reshape(whole, block)
+    if whole < blocks:
+        cells[whole, : len(ids) - whole * block] = ids[whole * block :]
+    grid = cells[:, :block]
     widths = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)
     best = _selectors(widths)
     sizes = np.full(blocks, block)
@@ -74,20 +78,18 @@ def pack_words(ids: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(which, kind="stable")
     which, start, selector = which[order], start[order], selector[order]
     firsts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=blocks))]).astype(np.uint64)
-    words = np.zeros(len(which), np.uint64)
-    ends = sizes[which]
-    for s in range(1, 16):
+    words = selector.astype(np.uint64) << np.uint64(60)
+    values, place = cells.reshape(-1), which * span + start
+    for s in range(2, 16):
         rows = np.flatnonzero(selector == s)
-        if len(rows) and WIDTHS[s]:
-            n = int(COUNTS[s])
-            places = start[rows, None] + np.arange(n)
-            picked = values[which[rows, None] * block + places]
-            picked[places >= ends[rows, None]] = 0
-            words[rows] = np.bitwise_or.reduce(picked << (np.arange(n, dtype=np.uint64) * np.uint64(WIDTHS[s])), axis=1)
+        if len(rows):
+            at, word = place[rows], words[rows]
+            for k in range(int(COUNTS[s])):
+                word |= values[at + k] << np.uint64(k * WIDTHS[s])
+            words[rows] = word
     rows = np.flatnonzero(selector == 0)
-    escapes = values[which[rows] * block + start[rows]]
     words[rows] = np.arange(len(rows), dtype=np.uint64)
-    return words | (selector.astype(np.uint64) << np.uint64(60)), firsts, escapes
+    return words, firsts, values[place[rows]]
 
 
 def unpack_words(words: np.ndarray, firsts: np.ndarray, escapes: np.ndarray, n: int, block: int = 128) -> np.ndarray:
@@ -97,18 +99,18 @@ def unpack_words(words: np.ndarray, firsts: np.ndarray, escapes: np.ndarray, n:
     which = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     before = np.cumsum(counts) - counts
     start = before - before[firsts[:-1]][which] if len(words) else before
-    out = np.zeros((len(firsts) - 1) * block + 128, np.uint64)
+    span = block + 120
+    out = np.zeros((len(firsts) - 1, span), np.uint64)
+    values, place = out.reshape(-1), which * span + start
     for s in range(2, 16):
         rows = np.flatnonzero(selector == s)
         if len(rows):
-            k, width = int(COUNTS[s]), np.uint64(WIDTHS[s])
-            got = (words[rows, None] >> (np.arange(k, dtype=np.uint64) * width)) & np.uint64((1 << int(width)) - 1)
-            places = start[rows, None] + np.arange(k)
-            inside = places < block
-            out[(which[rows, None] * block + places)[inside]] = got[inside]
+            at, word, mask = place[rows], words[rows], np.uint64((1 << int(WIDTHS[s])) - 1)
+            for k in range(int(COUNTS[s])):
+                values[at + k] = (word >> np.uint64(k * WIDTHS[s])) & mask
     rows = np.flatnonzero(selector == 0)
-    out[which[rows] * block + start[rows]] = escapes[(words[rows] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out[:n]
+    values[place[rows]] = escapes[(words[rows] & np.uint64((1 << 60) - 1)).astype(np.int64)]
+    return np.ascontiguousarray(out[:, :block]).reshape(-1)[:n]
 
 
 def write_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, block: int = 128) -> bytes:
