@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import exact_dedup, html_text, mixing, near_dedup, packing, pii, token_files, topk, toxicity
+from pathloom.llm import exact_dedup, html_text, lm_score, mixing, near_dedup, packing, pii, token_files, topk, toxicity
 from pathloom.llm.common import fold, table
 from pathloom.llm.encoding import public_vocabulary
 
@@ -23,6 +23,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.lm_score(table(spark, sf_dir, "documents"), learn=fold("doc_id", 7) != 2)
+    return scored.withColumn("held_out", fold("doc_id", 7) == 2)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
+    "op4_lm_score": op4_lm_score,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op7_pii": op7_pii,
