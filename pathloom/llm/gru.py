@@ -309,7 +309,7 @@ class Trainer:
             self._step(name, at, g * F32(min(1.0, 1.0 / max(norm, 1e-12))))
         return states[-1], total
 
-    def train(self, texts: list[np.ndarray], firsts: np.ndarray, window: int = 32, lanes: int = 128) -> float:
+    def train(self, texts: list[np.ndarray], firsts: np.ndarray, window: int = 16, lanes: int = 64) -> float:
         """Each text once, on lanes side by side; returns the summed log-probability on the way."""
         s = Streams(texts, firsts, lanes)
         h, total = np.zeros((self.shape.hidden, len(s.length)), F32), 0.0

@@ -48,10 +48,10 @@ class Settings:
     hidden: int = 16
     known: int = 1 << 18
     rounds: int = 4
-    every: int = 8
+    every: int = 16
     run: int = 128
     per_trainer: int = 500_000
-    rate: float = 0.05
+    rate: float = 0.1
 
     @property
     def shape(self) -> gru.Shape:
