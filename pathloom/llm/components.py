@@ -5,7 +5,8 @@ ordinary union-find with path halving; an edge becomes a link to the chunk's
 smallest member), then hangs every node below the smallest neighbour of its
 neighbours (large-star) and of its smaller neighbours (small-star).  The rounds
 end when the edges are a forest of stars.  Nothing is collected; each round is
-written to the shared folder.
+written to the shared folder.  A graph that has no more than one chunk of edges
+needs one union-find in one task.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind = batch.schema.field(0).type
         held.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        if len(held) >= CHUNK:
+        if len(held) > CHUNK:
             yield stars()
     if held:
         yield stars()
@@ -68,6 +69,10 @@ def components(edges: DataFrame) -> DataFrame:
     schema = f"a {kind}, b {kind}"
     # b is the smaller end from here on
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    edges = keep(edges.distinct())
+    if edges.count() <= CHUNK:  # a size that one union-find holds
+        stars = keep(edges.coalesce(1).mapInArrow(_unite, schema))
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("label")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
     while True:
         edges = keep(edges.mapInArrow(_unite, schema).distinct())
         several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
