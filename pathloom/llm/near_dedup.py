@@ -5,8 +5,9 @@
 2. Texts with equal word sequences are one node, the smallest id of them.
 3. Signatures are cut into ``bands`` of ``rows`` values; nodes that agree on a
    band share a bucket.  At the defaults a pair with a similarity of 0.85 shares
-   none with a probability of 4e-7, and of 0.8 with 5e-5.
-4. Candidate pairs are verified on the full sets, and verified links are grouped
+   none with a probability of 2e-6, and of 0.8 with 2e-4.
+4. Candidate pairs whose signatures rule out a link go; the others are verified
+   on the full sets, and verified links are grouped
    by a distributed union-find.  A bucket of n nodes is not expanded into its
    pairs: in a round, one node of each bucket (drawn by a hash) meets the others
    that are not yet in its group, n - 1 pairs at most.  A bucket is done when all
@@ -137,7 +138,7 @@ def _sign(size: int, bands: int, rows: int):
                     at += 1
                 signatures = super_minhash(sets, m)
                 keys = band_keys(signatures, bands, rows).view(np.int64)
-                lanes = _mix(signatures.view(np.uint64)).astype(np.uint32)  # enough to compare values for equality
+                lanes = _mix(signatures.view(np.uint64)).astype(np.uint8)  # equal values stay equal; one in 256 others agrees too
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(start, at - start),
@@ -179,7 +180,7 @@ def _alike(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [float(np.mean(np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32))) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            near = [float(np.mean(np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8))) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
@@ -191,8 +192,8 @@ def near_dedup(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    bands: int = 25,
-    rows: int = 5,
+    bands: int = 28,
+    rows: int = 6,
     rounds: int = 5,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
@@ -238,6 +239,7 @@ def near_dedup(
         left, right = sets.withColumnsRenamed({"node": "a", "set": "x"}), sets.withColumnsRenamed({"node": "b", "set": "y"})
         return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), f"a {kind}, b {kind}, linked boolean"))
 
+    lanes = keep(only_candidates(signed).select(F.col("doc_id").alias("node"), "n", "lanes").dropDuplicates(["node"]))
     met: list[DataFrame] = []
     links: list[DataFrame] = []
     open_ = buckets.withColumn("label", F.col("node"))
@@ -252,7 +254,7 @@ def near_dedup(
         open_ = keep(open_.join(weight.select("key"), "key", "left_semi"))
         last = turn == rounds or (turn > 0 and total.p <= 4 * total.m)
         if last:
-            pairs = _cross(open_, signed.select(F.col("doc_id").alias("node"), "n", "lanes").dropDuplicates(["node"]), percent, bands * rows, kind)
+            pairs = _cross(open_, lanes, percent)
         else:
             # the node with the least hash of this turn meets the rest of its bucket
             lead = open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))).alias("lead"))
@@ -260,8 +262,9 @@ def near_dedup(
         pairs = pairs.distinct()
         if met:
             pairs = pairs.join(reduce(DataFrame.union, met), ["a", "b"], "left_anti")
-        tried = verified(pairs)
-        met.append(tried.select("a", "b"))
+        pairs = keep(pairs)
+        met.append(pairs)
+        tried = verified(_possible(pairs, lanes, percent, bands * rows, kind))
         links.append(tried.where("linked").select("a", "b"))
         if last:
             break
@@ -276,8 +279,8 @@ def near_dedup(
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _cross(open_: DataFrame, lanes: DataFrame, percent: int, m: int, kind: str) -> DataFrame:
-    """All pairs of nodes in a bucket whose groups differ, without those whose sizes or signatures exclude a link.
+def _possible(pairs: DataFrame, lanes: DataFrame, percent: int, m: int, kind: str) -> DataFrame:
+    """The pairs (a, b) without those whose signatures exclude a link.
 
     The share of equal signature values estimates the similarity with a
     standard deviation of at most sqrt(j (1 - j) / m); the bound lies 5.5 of
@@ -285,9 +288,13 @@ def _cross(open_: DataFrame, lanes: DataFrame, percent: int, m: int, kind: str)
     """
     j = percent / 100
     least = j - 5.5 * (j * (1 - j) / m) ** 0.5
+    left, right = lanes.select(F.col("node").alias("a"), F.col("lanes").alias("x")), lanes.select(F.col("node").alias("b"), F.col("lanes").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike(least), f"a {kind}, b {kind}")
+
+
+def _cross(open_: DataFrame, lanes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes in a bucket whose groups differ and whose sizes allow a link."""
     sized = open_.join(lanes.select("node", "n"), "node")
     a, b = sized.select([F.col(c).alias(f"{c}_a") for c in ("key", "node", "label", "n")]), sized.select([F.col(c).alias(f"{c}_b") for c in ("key", "node", "label", "n")])
     fits = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = a.join(b, (F.col("key_a") == F.col("key_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    left, right = lanes.select(F.col("node").alias("a"), F.col("lanes").alias("x")), lanes.select(F.col("node").alias("b"), F.col("lanes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike(least), f"a {kind}, b {kind}")
+    return a.join(b, (F.col("key_a") == F.col("key_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
