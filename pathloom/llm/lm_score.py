@@ -11,9 +11,10 @@
    counted where they are; the counts of the rest come by a join.
 4. The model (:mod:`pathloom.llm.gru`) is trained in ``rounds``: trainers go
    through their part of the training rows and their weights are averaged.
-   In all rounds together each text gives every ``every``-th of its runs of
-   ``run`` ids, from a start of its own, so what is learned from grows with the
-   input.  A trainer gets about ``per_trainer`` ids a round.
+   In all rounds together each run of ``run`` ids of each text is learned from
+   once; a round takes every ``rounds``-th run of a text, from a start by its
+   row, so copies of a text differ in it.  A trainer gets about ``per_trainer``
+   ids a round.
 5. Every whole text is scored, the state carried across its windows.
 """
 
@@ -48,7 +49,6 @@ class Settings:
     hidden: int = 16
     known: int = 1 << 18
     rounds: int = 4
-    every: int = 16
     run: int = 128
     per_trainer: int = 500_000
     rate: float = 0.1
@@ -210,10 +210,9 @@ def _train(shared, settings: Settings, turn: int):
             firsts.clear()
 
         for b in batches:
-            for data in b.column(0):
-                raw = data.as_py()
-                start = (xxhash.xxh32_intdigest(raw) * settings.rounds + turn) % (settings.every * settings.rounds)
-                parts, before = gru.runs_of(shape, np.frombuffer(raw, "<u2"), settings.run, settings.every * settings.rounds, start)
+            for data, row in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                start = (row + turn) % settings.rounds
+                parts, before = gru.runs_of(shape, np.frombuffer(data.as_py(), "<u2"), settings.run, settings.rounds, start)
                 held += parts
                 firsts += before
                 waiting += sum(map(len, parts))
@@ -278,9 +277,9 @@ def train(encoded: DataFrame, v: Vocabulary, settings: Settings) -> np.ndarray:
     spark, shape = encoded.sparkSession, settings.shape
     start = gru.bounded(gru.initial(shape, v.counts[: settings.words], v.tail_n))
     weights, squares = gru.pack(start), np.full(sum(a.size for a in start.values()), 1e-4, np.float32)
-    rows = encoded.where("learn").select("ids")
+    rows = encoded.where("learn").select("ids", "row")
     ids = encoded.where("learn").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    trainers = max(1, -(-ids // (settings.every * settings.rounds * settings.per_trainer)))
+    trainers = max(1, -(-ids // (settings.rounds * settings.per_trainer)))
     for turn in range(settings.rounds):
         shared = spark.sparkContext.broadcast((weights, squares))
         found = rows.coalesce(trainers).mapInArrow(_train(shared, settings, turn), "n long, weights binary, squares binary")

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +222,19 @@ def test_language_model_gradient():
     assert np.allclose(split[0], split[1], atol=1e-3)
 
 
+def test_language_model_learns_from_every_run_once(monkeypatch):
+    learned = collections.Counter()
+    monkeypatch.setattr(gru.Trainer, "train", lambda self, texts, firsts: learned.update(t.tobytes() for t in texts))
+    settings = lm_score.Settings(words=8, width=4, hidden=2)
+    size = sum(int(np.prod(d)) for d in settings.shape.arrays().values())
+    texts = [np.random.default_rng(n).integers(0, 40, n).astype("<u2") for n in (1, 40, 128, 129, 500, 700, 3000)] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary()), pa.array(range(len(texts)), pa.int64())], names=["ids", "row"])
+    shared = types.SimpleNamespace(value=(np.zeros(size, np.float32), np.ones(size, np.float32)))
+    counts = [sum(b.column(0)[0].as_py() for b in lm_score._train(shared, settings, turn)(iter([batch]))) for turn in range(settings.rounds)]
+    assert learned == collections.Counter(t[k : k + settings.run].tobytes() for t in texts for k in range(0, len(t), settings.run))
+    assert sum(counts) == sum(map(len, texts)) and min(counts) > 0
+
+
 def test_lm_score_base_equals_sql(spark, duck, docs, none):
     duck.create_function("crc7", lambda i: zlib.crc32(str(i).encode()) % 7, ["BIGINT"], "BIGINT")
     want = {r[0]: r for r in duck.execute(lm_score.BASE_SQL.format(learn="crc7(doc_id) <> 2")).fetchall()}
