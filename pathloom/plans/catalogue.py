@@ -446,8 +446,9 @@ first5 AS (SELECT * FROM ranked WHERE rank <= 5) """
 )
 
 
-def _paths(spark, sf):
-    questions, chunks = _asked(spark, sf)
+def _paths(spark, sf, questions=None):
+    every, chunks = _asked(spark, sf)
+    questions = every if questions is None else questions
     found = retrieval.anchors(retrieval.topk(questions, chunks), chunks, "fixed_256")
     return retrieval.expand(found, chunks, graph.next_chunks(chunks), view(spark, sf, "chunk_mentions"))
 
@@ -610,12 +611,14 @@ def _(spark, sf):
 
 @query(
     "semantic_sim",
-    "SELECT q.qid, v.chunk_id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS semantic_sim FROM (" + "SELECT item_id AS qid, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id < 20" + ") q JOIN (SELECT CAST(vec_id AS STRING) AS chunk_id, embedding, vec_id FROM embeddings) v ON v.vec_id % 20 = q.qid",
+    with_views("questions")
+    + "SELECT q.qid, CAST(v.vec_id AS STRING) AS chunk_id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS semantic_sim FROM questions q JOIN embeddings v ON v.vec_id % (SELECT count(*) FROM questions) = q.qid",
 )
 def _(spark, sf):
     e = view(spark, sf, "embeddings")
     q = view(spark, sf, "questions").select("qid", "vector")
-    return e.join(F.broadcast(q), F.col("vec_id") % 20 == F.col("qid")).select("qid", F.col("vec_id").cast("string").alias("chunk_id"), M.cosine(F.col("vector"), F.col("embedding")).alias("semantic_sim"))
+    asked = e.crossJoin(F.broadcast(q.agg(F.count(F.lit(1)).alias("n_questions"))))
+    return asked.join(q, F.col("vec_id") % F.col("n_questions") == F.col("qid")).select("qid", F.col("vec_id").cast("string").alias("chunk_id"), M.cosine(F.col("vector"), F.col("embedding")).alias("semantic_sim"))
 
 
 _OK = "error IS NULL AND coalesce(generated, '') <> ''"
@@ -662,5 +665,9 @@ def _(spark, sf):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks linked in their documents, searched for each question, expanded along the graph and written out as contexts."""
-    return retrieval.contexts(view(spark, sf_dir, "questions"), retrieval.rank_paths(_paths(spark, sf_dir)), retrieval.path_block())
+    """Chunks linked in their documents, searched for each question, expanded along the graph and written out as contexts.
+
+    A smoke run over the first 20 questions; the registered queries ask all.
+    """
+    questions = view(spark, sf_dir, "questions").where("qid < 20")
+    return retrieval.contexts(questions, retrieval.rank_paths(_paths(spark, sf_dir, questions)), retrieval.path_block())

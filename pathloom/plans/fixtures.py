@@ -1,7 +1,7 @@
 """Derived views that give the engine's queries realistic inputs from the star-schema and text tables.
 
 Each view is one SQL text that Spark and DuckDB read alike, over tables or views
-of the same names.
+of the same names; only the order of a string_agg is put as Spark wants it.
 """
 
 from __future__ import annotations
@@ -20,15 +20,21 @@ SELECT doc_id, '/data/' || source || '/' || CAST(2020 + doc_id % 5 AS STRING) ||
        || CASE WHEN doc_id % 7 = 6 THEN '_' ELSE ' ' END || {_SYMBOL} || '.pdf' AS path
 FROM documents"""
 
-_METHOD = "CASE vec_id % 3 WHEN 0 THEN 'fixed_256' WHEN 1 THEN 'sentence_aware_256' ELSE 'hybrid_modified_256' END"
+_METHOD = "CASE n % 3 WHEN 0 THEN 'fixed_256' WHEN 1 THEN 'sentence_aware_256' ELSE 'hybrid_modified_256' END"
+#: In every third document one number is left out half way, so links have gaps to meet.
+_INDEX = "CAST(floor((n % 30) / 3) AS BIGINT) + CASE WHEN n % 90 >= 45 AND n % 90 < 60 THEN 1 ELSE 0 END"
+#: Chunk n has document n and embedding n; the shorter of the two tables starts again.
 VECTOR_CHUNKS = f"""
-SELECT 'doc' || CAST(CAST(floor(vec_id / 30) AS BIGINT) AS STRING) || '_' || {_METHOD} || '_' || CAST(CAST(floor((vec_id % 30) / 3) AS BIGINT) AS STRING) AS chunk_id,
-       'doc' || CAST(CAST(floor(vec_id / 30) AS BIGINT) AS STRING) AS filename, {_METHOD} AS method, CAST(floor((vec_id % 30) / 3) AS INT) AS chunk_index,
-       vec_id % 7 = 0 AS is_table, left(text, 400) AS text, embedding, vec_id
-FROM embeddings JOIN documents ON doc_id = vec_id % 200 WHERE vec_id % 11 <> 0"""
+SELECT 'doc' || CAST(CAST(floor(n / 30) AS BIGINT) AS STRING) || '_' || {_METHOD} || '_' || CAST({_INDEX} AS STRING) AS chunk_id,
+       'doc' || CAST(CAST(floor(n / 30) AS BIGINT) AS STRING) AS filename, {_METHOD} AS method, CAST({_INDEX} AS INT) AS chunk_index,
+       n % 7 = 0 AS is_table, text, embedding, n
+FROM (SELECT coalesce(vec_id, doc_id) AS n FROM embeddings FULL JOIN documents ON vec_id = doc_id) i
+CROSS JOIN (SELECT count(*) AS n_docs FROM documents) d CROSS JOIN (SELECT count(*) AS n_vecs FROM embeddings) v
+JOIN documents ON doc_id = n % n_docs JOIN embeddings ON vec_id = n % n_vecs"""
 
 QUESTIONS = """
-SELECT item_id AS qid, text AS question, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id < 20"""
+SELECT item_id AS qid, text AS question, embedding AS vector
+FROM benchmark CROSS JOIN (SELECT count(*) AS n_vecs FROM embeddings) v JOIN embeddings ON vec_id = item_id % n_vecs"""
 
 _MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS STRING)"
 FILINGS = f"""
@@ -38,8 +44,8 @@ WITH picked AS (
          max(l_extendedprice) OVER (PARTITION BY l_suppkey) AS top FROM lineitem),
 lines AS (
   SELECT l_suppkey, max(top) AS top,
-         {" || ".join(f"coalesce(max(CASE WHEN n = {n} THEN {'chr(10) || ' if n > 1 else ''}CAST(CAST(l_quantity AS INT) AS STRING) || ' {n} ' || CAST(CAST(round(l_discount * 100) AS INT) AS STRING) || ' ' || {_MONEY.format('l_extendedprice')} END), '')" for n in range(1, 7))} AS body
-  FROM picked WHERE n <= 6 GROUP BY l_suppkey)
+         string_agg(CAST(CAST(l_quantity AS INT) AS STRING) || ' ' || CAST(n AS STRING) || ' ' || CAST(CAST(round(l_discount * 100) AS INT) AS STRING) || ' ' || {_MONEY.format('l_extendedprice')}, chr(10) ORDER BY n) AS body
+  FROM picked GROUP BY l_suppkey)
 SELECT s_suppkey AS filing_id, 'filing' || CAST(s_suppkey AS STRING) AS chunk_id, s_name, n_name, r_name,
        'In Q' || CAST(1 + s_suppkey % 4 AS STRING) || ' ' || CAST(1995 + s_suppkey % 5 AS STRING) || ', ' || s_name || ' reported net sales of $' || {_MONEY.format('top')}
          || ' in ' || r_name || '. Operations in ' || n_name || ' were flat.' AS body1,
@@ -68,8 +74,8 @@ FROM (SELECT conv_id, turn, role, text AS truth, lead(text) OVER (PARTITION BY c
 WHERE role = 'user' AND reply IS NOT NULL"""
 
 CHUNK_MENTIONS = """
-SELECT chunk_id, 'Location' AS label, n_name AS key FROM vector_chunks JOIN nation ON n_nationkey = vec_id % 25 WHERE vec_id % 4 = 0
-UNION ALL SELECT chunk_id, 'Company' AS label, 'C' || CAST(vec_id % 5 AS STRING) AS key FROM vector_chunks WHERE vec_id % 2 = 0"""
+SELECT chunk_id, 'Location' AS label, n_name AS key FROM vector_chunks JOIN nation ON n_nationkey = n % 25 WHERE n % 4 = 0
+UNION ALL SELECT chunk_id, 'Company' AS label, 'C' || CAST(n % 5 AS STRING) AS key FROM vector_chunks WHERE n % 2 = 0"""
 
 #: In an order in which each uses only those before it.
 VIEWS = {"file_names": FILE_NAMES, "vector_chunks": VECTOR_CHUNKS, "questions": QUESTIONS, "filings": FILINGS, "filing_texts": FILING_TEXTS, "llm_json": LLM_JSON, "answers": ANSWERS, "chunk_mentions": CHUNK_MENTIONS}
@@ -91,4 +97,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for other in (*TABLES, *VIEWS):
         if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", VIEWS[name]):
             view(spark, sf_dir, other).createOrReplaceTempView(other)
-    return spark.sql(VIEWS[name])
+    return spark.sql(re.sub(r", chr\(10\) ORDER BY (\w+)\)", r", chr(10)) WITHIN GROUP (ORDER BY \1)", VIEWS[name]))
