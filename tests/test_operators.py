@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.engine import Config, Engine
 from pathloom.functions import metrics as M
 from pathloom.functions import text as T
-from pathloom.operators import chunking, graph
+from pathloom.operators import chunking, graph, retrieval
 from pathloom.sources import files
 
 WORDS = [f"w{n}" for n in range(50)]
@@ -29,6 +29,21 @@ def test_fixed_windows_cover_every_word(spark, n):
     assert got == want
 
 
+def test_topk_asks_all_blocks_of_questions(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 4)
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    questions = spark.createDataFrame([(i, v) for i, v in enumerate(vectors[:15])], "qid long, vector array<double>")
+    chunks = spark.createDataFrame([(f"c{i:02d}", i % 2, v) for i, v in enumerate(vectors)], "chunk_id string, half int, embedding array<double>")
+    unit = [[x / math.hypot(*v) for x in v] for v in vectors]
+    near = lambda q, ids: sorted(ids, key=lambda i: -sum(a * b for a, b in zip(unit[q], unit[i], strict=True)))[:3]
+    want = {(q, f"c{i:02d}") for q in range(15) for i in near(q, range(40))}
+    for search in (retrieval.topk, retrieval.topk_plain):
+        assert {(r.qid, r.chunk_id) for r in search(questions, chunks, 3).collect()} == want
+    parts = retrieval.topk_plain(questions, chunks, 3, partition="half").collect()
+    assert {(r.qid, r.chunk_id) for r in parts} == {(q, f"c{i:02d}") for q in range(15) for h in (0, 1) for i in near(q, range(h, 40, 2))}
+
+
 def test_overlap_guard():
     assert [chunking.window_step(256), chunking.window_step(512), chunking.window_step(1024)] == [231, 461, 922]
     assert chunking.window_step(10, 10) == 1
