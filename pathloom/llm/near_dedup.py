@@ -5,7 +5,7 @@
 2. Texts with equal word sequences are one node, the smallest id of them.
 3. Signatures are cut into ``bands`` of ``rows`` values; nodes that agree on a
    band share a bucket.  At the defaults a pair with a similarity of 0.85 shares
-   none with a probability of 2e-6, and of 0.8 with 2e-4.
+   none with a probability of 1.6e-7, and of 0.8 with 4.4e-5.
 4. Candidate pairs whose signatures rule out a link go; the others are verified
    on the full sets, and verified links are grouped
    by a distributed union-find.  A bucket of n nodes is not expanded into its
@@ -192,7 +192,7 @@ def near_dedup(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    bands: int = 28,
+    bands: int = 33,
     rows: int = 6,
     rounds: int = 5,
 ) -> DataFrame:

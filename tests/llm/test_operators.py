@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import random
 import re
 import types
@@ -73,6 +74,13 @@ def test_near_dedup_equals_brute_force(spark, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_bands_miss_no_more_than_25_of_5():
+    defaults = {k: p.default for k, p in inspect.signature(near_dedup.near_dedup).parameters.items()}
+    missed = lambda j, bands, rows: (1 - j**rows) ** bands
+    for percent in range(defaults["percent"], 100):
+        assert missed(percent / 100, defaults["bands"], defaults["rows"]) <= missed(percent / 100, 25, 5)
+
+
 def test_components_large_path(spark, monkeypatch):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(5, 5), (None, 3)]
