@@ -268,3 +268,82 @@ def test_pipeline_stages_keep_their_columns(spark):
         assert docs.columns == columns, name
         assert 0.5 * before < docs.count() <= before
     assert corpus_pipeline.pack_windows(spark, docs, SF).where("length > 4096").count() == 0
+
+
+def brute_mix(rows):
+    """(doc_id, text) of each use; rows are (doc_id, text, source)."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    sources = sorted({s for *_, s in rows})
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in sources}
+    weight = {s: n % 3 + 1 for n, s in enumerate(sources)}
+    full: set = set()
+    while True:
+        rest = sum(total.values()) - sum(3 * total[s] for s in full)
+        shares = sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if s not in full and 3 * total[s] * shares <= rest * weight[s]}
+        if not more:
+            break
+        full |= more
+    uses: collections.Counter = collections.Counter()
+    for s in sources:
+        take, at = 3 * total[s] if s in full else rest * weight[s] // shares, 0
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+            words = [max(min(take - p * total[s] - at, size[i]), 0) for p in range(3)]
+            uses[i, t] += sum(w > 0 and 2 * w >= size[i] for w in words) if size[i] else 1
+            at += size[i]
+    return +uses
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import itertools
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = {i: " ".join(new(rng.randrange(20, 60))) for i in range(150)}
+    toxic = {i for i in range(150) if i % 5 == 0}
+    texts |= {i: texts[i] + " vile nasty" for i in toxic}
+    texts |= {200 + k: texts[i].replace(" ", "  ") for k, i in enumerate((1, 2, 3, 4))} | {210: texts[6], 211: None, 212: "", 213: " \n"}
+    pairs = []
+    for k in range(4):
+        words = new(100)
+        changed = words[:50] + ["changed"] + words[51:]
+        texts |= {300 + 2 * k: " ".join(words), 301 + 2 * k: " ".join(changed)}
+        pairs.append((300 + 2 * k, 301 + 2 * k))
+    rows = [(i, t, "abc"[(i // 7) % 3]) for i, t in texts.items()]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    clean = [r for r in rows if "vile" not in (r[1] or "")]
+    best: dict = {}
+    for r in sorted(clean, key=lambda r: (-len(r[1] or ""), r[0])):
+        best.setdefault(norm(r[1]), r)
+    single = list(best.values())
+    kept = [[r for r in single if r[0] not in gone] for gone in itertools.product(*pairs)]  # of each pair either may stay
+    path = public_vocabulary("word_bpe_49k.json")
+    whole = lambda t: encoder(path).encode(t or "") + (2).to_bytes(4, "little")
+
+    def documents(pieces):
+        out: list = []
+        for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+            if r.start == 0:
+                out.append([r.doc_id, b""])
+            assert out[-1][0] == r.doc_id and len(out[-1][1]) == 4 * r.start
+            out[-1][1] += bytes(r.ids)
+        return collections.Counter(map(tuple, out))
+
+    docs, found = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)))
+        found[name] = sorted((r.doc_id, r.text, r.source) for r in docs.collect()) if name != "toxicity" else docs.collect()
+    by_id = lambda x: sorted(x, key=lambda r: r[0])
+    assert by_id((r.doc_id, r.text, r.source) for r in found["toxicity"]) == by_id(clean)
+    assert by_id(found["exact_dedup"]) == by_id(single)
+    assert by_id(found["near_dedup"]) in [by_id(k) for k in kept]
+    mixed = collections.Counter((i, t) for i, t, _ in found["mixing"])
+    assert mixed == brute_mix(found["near_dedup"])
+    encoded = lambda uses: collections.Counter({(i, whole(t)): n for (i, t), n in uses.items()})
+    assert documents(corpus_pipeline.pack_windows(spark, docs, str(tmp_path)).collect()) == encoded(mixed)
+    assert documents(corpus_pipeline.run(spark, str(tmp_path)).collect()) in [encoded(brute_mix(k)) for k in kept]
