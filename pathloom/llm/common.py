@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,9 +21,16 @@ _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset a temporary one of this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder of this process serves a local
+    master; on a cluster, whose executors could not see it, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="pathloom-"))
             atexit.register(shutil.rmtree, _own[0], True)
@@ -35,7 +43,8 @@ def keep(df: DataFrame) -> DataFrame:
 
     This cuts the lineage: whatever is built on the result survives the loss of
     any executor without computing ``df`` again, and column pruning still
-    reaches the files.  The table is deleted when the application ends.
+    reaches the files.  The table is deleted when the application ends, or
+    earlier by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
@@ -43,7 +52,17 @@ def keep(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`keep` that nothing still to be computed reads."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -80,8 +80,9 @@ def components(edges: DataFrame) -> DataFrame:
         if several.isEmpty() and inner.isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # (a table of its own, so that the rows of a hub can be split over tasks)
+        least = keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = keep(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
         edges = small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct()
