@@ -53,8 +53,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
-    rows = rows.select("vec_id", topk.integer_vector(F.col("embedding")).alias("vector"))
-    return topk.exact_topk(rows.where(F.col("vec_id") % 100 == 0), rows)
+    rows = rows.select("vec_id", F.col("embedding").alias("vector"))
+    return topk.exact_topk(rows.where(F.col("vec_id") % 100 == 0), rows, scale=1024)
 
 
 QUERIES = {

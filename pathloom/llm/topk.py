@@ -16,6 +16,7 @@ block numbers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +34,32 @@ _SAFE = 1 << 62
 _BLOCK = "kind int, ids binary, n int, dims int, words binary"
 
 
-def integer_vector(column: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component as double."""
-    return F.transform(column, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-
-
 def usable(column: Column) -> Column:
-    """Neither null nor holding a null, NaN or infinite component, nor one whose integer does not fit a long."""
-    good = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(9.0e15)))
+    """Neither null nor holding a null, NaN or infinite component."""
+    good = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return column.isNotNull() & F.coalesce(good, F.lit(False))
 
 
+def integers(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of each component, exact: int64, or Python integers where some pass 62 bits."""
+    if values.dtype == np.int64:
+        return values * scale if int(np.abs(values).max(initial=0)) * scale < _SAFE and values.min(initial=0) > -_SAFE else values.astype(object) * scale
+    with np.errstate(over="ignore"):
+        scaled = np.floor(values * scale)
+    if np.abs(scaled).max(initial=0) < _SAFE:
+        return scaled.astype(np.int64)
+    # a double of 2^53 or more is an integer; below, the product with the scale is in range
+    exact = [int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in values.reshape(-1).tolist()]
+    return np.array([*exact, None], object)[:-1].reshape(values.shape)
+
+
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores of all queries (rows) against all candidates, term at a time.
 
     Exact: where products could pass 62 bits the sums are Python integers.
     """
     dims = min(queries.shape[1], candidates.shape[1])
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(dims, 1)
+    most = int(abs(queries).max(initial=0)) * int(abs(candidates).max(initial=0)) * max(dims, 1)
     kind = np.int64 if most < _SAFE else object
     scores = np.zeros((len(queries), len(candidates)), kind)
     for term in range(dims):
@@ -76,12 +85,12 @@ def select_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
 
 
-def _pack(size: int):
+def _pack(size: int, kept: type):
     """Rows (kind, id, vector) of a partition, packed per kind into blocks of at most ``size`` rows."""
 
     def block(kind: int, ids: list, vectors: list) -> pa.RecordBatch:
         dims = max(map(len, vectors))
-        matrix = np.zeros((len(vectors), dims), np.int64)
+        matrix = np.zeros((len(vectors), dims), kept)
         for row, v in zip(matrix, vectors, strict=True):
             row[: len(v)] = v
         cells = [kind, np.array(ids, np.int64).tobytes(), len(ids), dims, matrix.tobytes()]
@@ -102,13 +111,25 @@ def _pack(size: int):
     return run
 
 
-def _best_of_blocks(k: int):
+_COMPLEMENT = str.maketrans("0123456789", "9876543210")
+
+
+def ordered(score: int) -> tuple[int, int, str]:
+    """(nearest long, and for scores beyond it, number of digits and digits): in the order of these, scores keep theirs."""
+    limit = (1 << 63) - 1
+    if -limit - 1 <= score <= limit:
+        return score, 0, ""
+    digits = str(abs(score))
+    return (limit, len(digits), digits) if score > 0 else (-limit - 1, -len(digits), digits.translate(_COMPLEMENT))
+
+
+def _best_of_blocks(k: int, scale: int, kept: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for q_ids, q_n, q_dims, q_words, c_ids, c_n, c_dims, c_words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 qs, cs = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                scores = accumulate(np.frombuffer(q_words, np.int64).reshape(q_n, q_dims), np.frombuffer(c_words, np.int64).reshape(c_n, c_dims))
+                scores = accumulate(integers(np.frombuffer(q_words, kept).reshape(q_n, q_dims), scale), integers(np.frombuffer(c_words, kept).reshape(c_n, c_dims), scale))
                 for q, row in zip(qs, scores, strict=True):
                     others = cs != q
                     row, ids = (row, cs) if others.all() else (row[others], cs[others])
@@ -119,18 +140,20 @@ def _best_of_blocks(k: int):
                         at = select_best(row, ids, k)
                         row, ids = row[at], ids[at]
                     best[int(q)] = row, ids
-        limit = (1 << 63) - 1
-        out = [(q, int(i), max(-limit - 1, min(limit, int(s)))) for q, (scores, ids) in best.items() for s, i in zip(scores, ids, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+        out = [(q, int(i), *ordered(int(s))) for q, (scores, ids) in best.items() for s, i in zip(scores, ids, strict=True)]
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["query_id", "vec_id", "score", "size", "digits"])
 
     return run
 
 
-def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = 4096, query_block: int = 512) -> DataFrame:
+def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1, block: int = 4096, query_block: int = 512) -> DataFrame:
     """The k best candidates of each query: query_id, rank (from 1), vec_id, score.
 
-    Both frames hold (vec_id long, vector array<long>).  A candidate with the
-    query's own id is left out; ties go to the smaller id.  Vectors of unequal
+    Both frames hold (vec_id long, vector), the vectors of whole numbers or of
+    finite ones; a score is the inner product of floor(scale * x) of the
+    components, without rounding.  A candidate with the query's own id is left
+    out; ties go to the smaller id.  Vectors of unequal
     length are compared on the components that both have.  A query without any
     candidate has no rows.  Rows with a null id or vector take no part.  Ids
     are keys: of rows with the same id, queries are answered once and
@@ -139,10 +162,13 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 10, block: in
     """
     spark = candidates.sparkSession
     ship(spark)
+    kinds = {dict(df.dtypes)["vector"] for df in (queries, candidates)}
+    whole = kinds <= {f"array<{t}>" for t in ("tinyint", "smallint", "int", "bigint")}
+    kept, cast = (np.int64, "array<long>") if whole else (np.float64, "array<double>")
 
     def blocks(df: DataFrame, kind: int, size: int) -> DataFrame:
-        rows = df.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.lit(kind).alias("kind"), F.col("vec_id").cast("long"), "vector")
-        return rows.mapInArrow(_pack(size), _BLOCK)
+        rows = df.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.lit(kind).alias("kind"), F.col("vec_id").cast("long"), F.col("vector").cast(cast))
+        return rows.mapInArrow(_pack(size, kept), _BLOCK)
 
     # a shuffle of the (few) queries by id packs them into few full blocks and drops repeated ids
     few = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
@@ -150,8 +176,8 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 10, block: in
     right = blocks(candidates, 1, block).select("ids", "n", "dims", "words")
     weight = left.agg(F.coalesce(F.sum(F.length("q_words") + F.length("q_ids")), F.lit(0))).first()[0]
     pairs = right.crossJoin(F.broadcast(left)) if weight <= BROADCAST_BYTES else keep(right).crossJoin(left)
-    best = pairs.select("q_ids", "q_n", "q_dims", "q_words", "ids", "n", "dims", "words").mapInArrow(_best_of_blocks(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = pairs.select("q_ids", "q_n", "q_dims", "q_words", "ids", "n", "dims", "words").mapInArrow(_best_of_blocks(k, scale, kept), "query_id long, vec_id long, score long, size long, digits string")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("size").desc(), F.col("digits").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
