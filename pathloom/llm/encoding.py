@@ -4,13 +4,14 @@ The tokenizers library spends most of its time on bookkeeping around each call,
 and a corpus repeats its words.  Texts are therefore cut at places where the
 pre-tokenizer cuts anyway, each piece is encoded once by the library's own
 pre-tokenizer and BPE model, and its ids are kept as little-endian uint32
-bytes.  The result equals ``encode(text, add_special_tokens=False)`` with
-``encode_special_tokens = True`` (strings of special tokens in a text are
-ordinary text).
+bytes.  The result equals the library's ``encode(text, add_special_tokens=False)``:
+the strings of special tokens in a text become those tokens, unless
+``special_as_text`` is set, which equals ``encode_special_tokens = True`` there.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from struct import pack
 
@@ -50,15 +51,22 @@ class Encoder:
     anew, which costs time and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 600_000, special_as_text: bool = False):
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True
         self._model, self._pre, self._norm = self._t.model, self._t.pre_tokenizer, self._t.normalizer
         self._letters = dict(enumerate(_byte_letters()))
+        added = self._t.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or not t.special for t in added.values()):
+            raise ValueError(f"{path}: added tokens other than plain special ones")
+        #: None, or a pattern that finds special tokens, the longest first.
+        self._special = None if special_as_text or not added else re.compile("|".join(f"({re.escape(t.content)})" for t in sorted(added.values(), key=lambda t: -len(t.content))))
+        self._special_ids = [pack("<I", i) for i, _ in sorted(added.items(), key=lambda x: -len(x[1].content))]
+        self._hint = os.path.commonprefix([t.content for t in added.values()])
         #: With a normalizer, white space only separates words; without, a space belongs to the word that follows.
         self.spaceless = self._norm is not None
-        self._first = _Cache(self._piece, limit)
-        self._later = _Cache(self._piece if self.spaceless else lambda piece: self._piece(f" {piece}"), limit)
+        self._first = _Cache(lambda piece: self._piece("", piece, self._first), limit)
+        self._later = _Cache(lambda piece: self._piece("" if self.spaceless else " ", piece, self._later), limit)
+        self._tails = _Cache(lambda tail: self._packed(self._model.tokenize(tail)), 10_000)
         self._newline = b"" if self.spaceless else self._general("\n")
 
     def _model_ids(self, word: str) -> list[int]:
@@ -70,27 +78,37 @@ class Encoder:
         ids = [i for word, _ in self._pre.pre_tokenize_str(text) for i in self._model_ids(word)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def _piece(self, piece: str) -> bytes:
-        """One piece; a plain Latin-1 word, with or without punctuation after it, needs no regex."""
-        space = piece[:1] == " "
-        core = piece.rstrip(_TAIL)
-        word = core[1:] if space else core
-        if not word.isalpha():
-            return self._general(piece)
+    @staticmethod
+    def _packed(tokens: list) -> bytes:
+        return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _piece(self, space: str, piece: str, cache: _Cache) -> bytes:
+        """One piece; a plain Latin-1 word needs no regex, and punctuation after it is a piece of its own."""
+        word = piece.rstrip(_TAIL)
+        if not word.isalpha() or not word.isascii() and max(word) > "\xff":
+            return self._general(space + piece)
+        if len(word) < len(piece):
+            return cache[word] + self._tails[piece[len(word) :]]
         if self._norm is not None:
             word = word.lower()
         if not word.isascii():
-            if max(core) > "\xff":
-                return self._general(piece)
             # in Latin-1, NFC changes nothing, and lower case is one letter for one letter
             word = word.encode().decode("latin-1").translate(self._letters)
         # ASCII letters and punctuation stand for themselves in a byte-level vocabulary, and a dotted G for the blank
-        found = self._model.tokenize("\u0120" + word if space else word)
-        if len(core) < len(piece):
-            found += self._model.tokenize(piece[len(core) :])
-        return pack(f"<{len(found)}I", *[t.id for t in found])
+        return self._packed(self._model.tokenize("\u0120" + word if space else word))
 
     def encode(self, text: str) -> bytes:
+        if self._special is None or self._hint not in text:
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._special.finditer(text):
+            out += [self._plain(text[at : m.start()]), self._special_ids[m.lastindex - 1]]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        if not text:
+            return b""
         later = self._later.__getitem__
         if self.spaceless:
             # white space never joins tokens, so every blank is a place to cut
@@ -108,14 +126,16 @@ class Encoder:
         return b"".join(parts)
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, limit: int = 600_000) -> Encoder:
+def encoder(path: str, limit: int = 600_000, special_as_text: bool = False) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if (path, limit) not in _encoders:
-        _encoders[path, limit] = Encoder(path, limit)
-    return _encoders[path, limit]
+    key = path, limit, special_as_text
+    if key not in _encoders:
+        _encoders.clear()  # one at a time: workers are used for one job after another
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def public_vocabulary(name: str) -> str:

@@ -25,9 +25,9 @@ _ENCODED = "part int, doc_id long, start long, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(path, special_as_text=special_as_text).encode, int(end_id).to_bytes(4, "little")
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
             ids = [np.frombuffer(encode(t.as_py()) + end, "<u4") for t in b.column(1)]
@@ -71,10 +71,12 @@ def _cut(window: int):
     return run
 
 
-def pack(df: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
-    Documents follow each other in the order of the input's partitions.  A null
+    Documents follow each other in the order of the input's partitions.
+    Strings of special tokens in a text become those tokens, as the library does
+    by itself, or with ``special_as_text`` remain ordinary text.  A null
     text counts as empty and is its end id alone.  Null and repeated ids are
     carried along; each row is a document of its own.  A document longer than
     the window becomes several pieces; nothing is dropped.  Other columns of
@@ -84,7 +86,7 @@ def pack(df: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id
         raise ValueError("the window must hold at least one id")
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    encoded = keep(rows.mapInArrow(_encode(vocabulary, end_id), _ENCODED))
+    encoded = keep(rows.mapInArrow(_encode(vocabulary, end_id, special_as_text), _ENCODED))
     totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("part", before.alias("offset"))  # one row a partition

@@ -29,9 +29,9 @@ SHARDS = "part int, seq int, start long, n_ids long, n_docs long, shard binary"
 _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("shard", pa.binary())])
 
 
-def _writer(path: str, end_id: int, shard_ids: int, block: int):
+def _writer(path: str, end_id: int, shard_ids: int, block: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(path, special_as_text=special_as_text).encode, int(end_id).to_bytes(4, "little")
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         texts: list[bytes] = []
@@ -60,18 +60,20 @@ def _writer(path: str, end_id: int, shard_ids: int, block: int):
     return run
 
 
-def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 18, block: int = 128) -> DataFrame:
+def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 18, block: int = 128, special_as_text: bool = False) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write all ids in ascending id order; returns the table of shards.
 
     A null text counts as empty and gives the end id alone.  Null ids sort
     first; rows with the same id follow each other in the order of their texts.
-    A text longer than a shard is one shard of its own size.  Other columns of
+    A text longer than a shard is one shard of its own size.
+    Strings of special tokens in a text become those tokens, as the library does
+    by itself, or with ``special_as_text`` remain ordinary text.  Other columns of
     the input are not looked at.  An empty table gives no shards.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return keep(rows.mapInArrow(_writer(vocabulary, end_id, shard_ids, block), SHARDS))
+    return keep(rows.mapInArrow(_writer(vocabulary, end_id, shard_ids, block, special_as_text), SHARDS))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
