@@ -2,18 +2,23 @@
 
 Base: four patterns (e-mail, IP, card, phone), matched leftmost and without
 overlap for each kind, with validity tests.  Bootstrapping: tokens that look
-like identifiers are taken from all texts with the words around them.  Those
-that a base pattern recognises are the seeds.  Contexts (word before, word
-after, both) are the patterns of a bipartite graph whose other side are the
-distinct token values.  In each iteration
+like identifiers are taken from all texts with the words around them.  Seeds
+are those that a base pattern recognises, and as a fifth kind, *secret*, long
+strings of letters and digits assigned to a word such as ``token`` or ``key``.
+Lexical contexts (word before with its sign, word after, both) are the patterns
+of a bipartite graph whose other side are the distinct token values.  In each
+iteration
 
 * a pattern's confidence for a kind is the summed score of its distinct values
-  over their number plus ``smoothing``;
+  over their number plus ``smoothing``, if at least ``support`` of them are
+  seeds or score ``confidence`` or more (values discovered on the way support
+  patterns as seeds do);
 * an unknown value's score for a kind is the highest confidence among its
   patterns.
 
-Occurrences of unknown values in patterns of at least ``confidence`` with at
-least ``support`` distinct seeds are added, if they have the kind's bare shape.
+Occurrences in patterns of at least ``confidence`` are added, if they have the
+kind's bare shape.  A pattern with fewer than ``support`` distinct values can
+never get there and is left out from the start.
 
 The regular expressions are possessive and anchored at the start of a run of
 their characters, so that they match what the plain forms match in linear time
@@ -26,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import keep, text_of
+from pathloom.llm.common import keep, release, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -39,14 +44,20 @@ BASE = {
 }
 #: A run without blanks that holds a digit or an @.
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-_ANY = f"{BASE['email']}|{BASE['phone']}|{BASE['ip']}|[0-9](?:[\\x20-]?[0-9]){{9,}}+|{_TOKEN}"
+_LOCAL_NUMBER = r"\([0-9]{2,5}\)[\x20.-]?[0-9]{2,4}[\x20.-]?[0-9]{3,5}"
+_ANY = f"{BASE['email']}|{BASE['phone']}|{BASE['ip']}|[0-9](?:[\\x20-]?[0-9]){{9,}}+|{_LOCAL_NUMBER}|{_TOKEN}"
 #: What an added value must look like.
 _SHAPES = {
     "email": r"^[^@]*[A-Za-z][^@]*@[^@]*[A-Za-z][^@]*$",
     "ip": r"^(?:[0-9]{1,3}[^0-9A-Za-z]+){3}[0-9]{1,3}$|^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}$",
     "card": r"^(?:[0-9][^0-9A-Za-z]?){13,19}$",
     "phone": r"^[(+]?(?:[0-9][^0-9A-Za-z]{0,2}){7,15}$",
+    "secret": r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=.-]{16,}$",
 }
+#: All kinds, in the order in which spans that start together are listed.
+ALL_KINDS = (*KINDS, "secret")
+#: What a secret is assigned to, as a context before it reads (see :func:`_context`).
+_CREDENTIAL = "^(?:[a-z0-9_]*_)?(?:token|key|apikey|secret|password|passwd|pwd|credentials?)[=:]+$"
 #: A character that no text uses; should one hold it, another stands in for it, of the same length and as foreign to every pattern.
 _MARK, _STAND_IN = "﷐", "�"
 _CHUNK = 256
@@ -87,18 +98,20 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _cut(df: DataFrame, name: str, pattern: str, gate: str) -> DataFrame:
-    """Adds ``name``: array of (start, end, value, before, after) of the matches; texts without a character of ``gate`` are not searched."""
+def _cut(df: DataFrame, name: str, pattern: str, gate: str, contexts: bool = False) -> DataFrame:
+    """Adds ``name``: array of (start, end, value) of the matches, and with ``contexts`` those (before, after); texts without a character of ``gate`` are not searched."""
     found = F.when(F.col("text").rlike(gate), pieces(F.col("text"), pattern)).otherwise(F.array(F.lit("")))
     df = df.withColumn("_p", found).withColumn("_n", F.transform("_p", lambda p: F.char_length(p).cast("long")))
     df = df.withColumn("_s", F.when(F.size("_n") > 1, F.expr(running("_n"))).otherwise(F.expr("array(0L)")))
     odd = lambda a: F.filter(a, lambda x, i: i % 2 == 1)
     even = lambda a: F.filter(a, lambda x, i: i % 2 == 0)
-    near = F.transform(even(F.col("_p")), lambda p: F.struct(F.substring(p, 1, 48).alias("head"), F.right(p, F.lit(48)).alias("tail")))
-    zipped = F.arrays_zip(odd(F.col("_s")).alias("start"), odd(F.col("_n")).alias("length"), odd(F.col("_p")).alias("value"), near.alias("before"), F.slice(near, F.lit(2), F.greatest(F.size("_p"), F.lit(1))).alias("after"))
+    parts = [odd(F.col("_s")).alias("start"), odd(F.col("_n")).alias("length"), odd(F.col("_p")).alias("value")]
+    if contexts:
+        between = even(F.col("_p"))
+        parts += [F.transform(between, lambda p: _context(p, before=True)).alias("before"), F.transform(F.slice(between, F.lit(2), F.greatest(F.size("_p"), F.lit(1))), lambda p: _context(p, before=False)).alias("after")]
     spans = F.transform(
-        F.filter(zipped, lambda z: z["value"].isNotNull()),
-        lambda z: F.struct(z["start"].alias("start"), (z["start"] + z["length"]).alias("end"), z["value"].alias("value"), z["before"]["tail"].alias("before"), z["after"]["head"].alias("after")),
+        F.filter(F.arrays_zip(*parts), lambda z: z["value"].isNotNull()),
+        lambda z: F.struct(z["start"].alias("start"), (z["start"] + z["length"]).alias("end"), z["value"].alias("value"), *([z["before"].alias("before"), z["after"].alias("after")] if contexts else [])),
     )
     return df.withColumn(name, spans).drop("_p", "_n", "_s")
 
@@ -117,22 +130,32 @@ def base_spans(df: DataFrame) -> DataFrame:
     return df.withColumn("base", F.array_sort(F.concat(*parts))).drop(*[f"_{kind}" for kind in KINDS])
 
 
-def _word(column: Column, last: bool) -> Column:
-    """The last or first word of a piece of text, in lower case without punctuation around it; empty where there is none."""
-    words = F.filter(F.split(column, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    word = F.coalesce(F.try_element_at(words, F.lit(-1 if last else 1)), F.lit(""))
-    return F.regexp_replace(F.lower(word), r"^\p{Punct}+|\p{Punct}+$", "")
+_NEAR = 64
+
+
+def _context(piece: Column, before: bool) -> Column:
+    """The last (or first) word of the text before (or after) a token, in lower case with the = and : between; empty where there is none.
+
+    The nearest ``_NEAR`` characters are searched first, and all of the text
+    where they do not hold the whole word.
+    """
+    word, rest = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    pattern = f"(?<!{word}){word}++{rest}*+$" if before else f"^{rest}*+{word}++"
+    found = F.regexp_extract(F.right(piece, F.lit(_NEAR)) if before else F.left(piece, F.lit(_NEAR)), pattern, 0)
+    short = (F.char_length(piece) > _NEAR) & ((found == "") | (F.char_length(found) == _NEAR))
+    return F.lower(F.regexp_replace(F.when(short, F.regexp_extract(piece, pattern, 0)).otherwise(found), r"[^\p{L}\p{N}_=:]+", ""))
 
 
 def occurrences(df: DataFrame) -> DataFrame:
     """Adds ``seen`` to (…, text): identifier-like tokens as (start, end, value, kind number or null, patterns)."""
-    df = _cut(df, "_any", _ANY, "[0-9@]")
+    df = _cut(df, "_any", _ANY, "[0-9@]", contexts=True)
 
     def look(s: Column) -> Column:
-        value = F.regexp_replace(s["value"], r"^[\"'\[{<]+|[\"'\]}>.,;:!?]+$", "")
-        lead = F.char_length(F.regexp_extract(s["value"], r"^[\"'\[{<]+", 0))
-        kind = F.coalesce(*[F.when(value.rlike(f"^(?:{BASE[k]})$") & valid(k, value), F.lit(n)) for n, k in enumerate(KINDS)])
-        left, right = _word(s["before"], True), _word(s["after"], False)
+        value = F.regexp_replace(s["value"], "^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$", "")
+        lead = F.char_length(F.regexp_extract(s["value"], "^[^A-Za-z0-9+(]+", 0))
+        left, right = s["before"], s["after"]
+        known = [F.when(value.rlike(f"^(?:{BASE[k]})$") & valid(k, value), F.lit(n)) for n, k in enumerate(KINDS)]
+        kind = F.coalesce(*known, F.when(left.rlike(_CREDENTIAL) & value.rlike(_SHAPES["secret"]), F.lit(len(KINDS))))
         patterns = F.array(
             F.when(left != "", F.concat(F.lit("<"), left)),
             F.when(right != "", F.concat(F.lit(">"), right)),
@@ -145,40 +168,49 @@ def occurrences(df: DataFrame) -> DataFrame:
 
 
 def bootstrap(seen: DataFrame, iterations: int, confidence: float, support: int, smoothing: float) -> DataFrame:
-    """(row, start, kind, end) of the occurrences that high-confidence patterns discover; ``seen``: (row, start, end, value, kind, patterns)."""
+    """(row, start, kind, end) of the occurrences that high-confidence patterns discover.
+
+    ``seen``: (row, start, end, value, kind, patterns, clear); only ``clear``
+    ones that no base pattern recognises are returned.
+    """
+    numbers = range(len(ALL_KINDS))
     edges = keep(seen.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
-    names = [f"s{n}" for n in range(len(KINDS))]
-    # a pattern without enough seeds of one kind can never qualify, and lends nothing
-    seeds = [F.count(F.when(F.col("kind") == n, 1)).alias(f"n{n}") for n in range(len(KINDS))]
-    patterns = edges.groupBy("pattern").agg(*seeds, F.count(F.lit(1)).alias("n")).where(F.greatest(*[f"n{n}" for n in range(len(KINDS))]) >= support)
-    edges = keep(edges.join(keep(patterns), "pattern"))
-    scored = edges.select("*", *[(F.col("kind") == n).cast("double").alias(f"s{n}") for n in range(len(KINDS))]).na.fill(0.0, names)
-    for _ in range(iterations):
-        gates = [F.when(F.first(f"n{n}") >= support, F.sum(f"s{n}") / (F.first("n") + smoothing)).otherwise(F.lit(0.0)).alias(f"c{n}") for n in range(len(KINDS))]
-        trust = scored.groupBy("pattern").agg(*gates)
-        best = edges.join(trust, "pattern").where(F.col("kind").isNull()).groupBy("value").agg(*[F.max(f"c{n}").alias(f"v{n}") for n in range(len(KINDS))])
-        fresh = edges.join(best, "value", "left")
-        scored = keep(fresh.select(*edges.columns, *[F.when(F.col("kind").isNotNull(), (F.col("kind") == n).cast("double")).otherwise(F.coalesce(f"v{n}", F.lit(0.0))).alias(f"s{n}") for n in range(len(KINDS))]))
-    trust = scored.groupBy("pattern").agg(*gates)
-    sure = trust.where(F.greatest(*[f"c{n}" for n in range(len(KINDS))]) >= confidence)
-    sure = sure.select(F.col("pattern"), F.array_position(F.array(*[f"c{n}" for n in range(len(KINDS))]), F.greatest(*[f"c{n}" for n in range(len(KINDS))])).cast("int").alias("k"))
+    patterns = keep(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
+    seeds = keep(edges.where(F.col("kind").isNotNull()).groupBy("value").agg(F.max("kind").alias("kind")))  # a seed is one in all its contexts
+    graph = keep(edges.drop("kind").join(patterns, "pattern").join(seeds, "value", "left"))
+    release(edges, patterns, seeds)
+    best, trusts = None, []
+    for _ in range(iterations + 1):
+        scored = graph if best is None else graph.join(best, "value", "left")
+        scores = [F.when(F.col("kind").isNotNull(), (F.col("kind") == k).cast("double")).otherwise(F.lit(0.0) if best is None else F.coalesce(f"v{k}", F.lit(0.0))) for k in numbers]
+        trust = scored.groupBy("pattern").agg(
+            *[F.when(F.count(F.when(s >= confidence, 1)) >= support, F.sum(s) / (F.first("n") + smoothing)).otherwise(F.lit(0.0)).alias(f"c{k}") for k, s in enumerate(scores)]
+        )
+        trust = keep(trust.where(F.greatest(*[f"c{k}" for k in numbers]) > 0))
+        trusts.append(trust)
+        if len(trusts) <= iterations:
+            best = graph.where(F.col("kind").isNull()).join(trust, "pattern").groupBy("value").agg(*[F.max(f"c{k}").alias(f"v{k}") for k in numbers])
+            best = keep(best)
+    release(graph, *trusts[:-1])
+    sure = trust.where(F.greatest(*[f"c{k}" for k in numbers]) >= confidence)
+    sure = sure.select(F.col("pattern"), F.array_position(F.array(*[f"c{k}" for k in numbers]), F.greatest(*[f"c{k}" for k in numbers])).cast("int").alias("k"))
     fits = F.lit(False)
-    for n, kind in enumerate(KINDS):
-        fits = F.when(F.col("k") == n + 1, F.col("value").rlike(_SHAPES[kind])).otherwise(fits)
-    unknown = seen.where(F.col("kind").isNull()).select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    for k, kind in enumerate(ALL_KINDS):
+        fits = F.when(F.col("k") == k + 1, F.col("value").rlike(_SHAPES[kind])).otherwise(fits)
+    unknown = seen.where(F.col("clear") & (F.col("kind").isNull() | (F.col("kind") == len(KINDS)))).select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
     return unknown.join(sure, "pattern").where(fits).groupBy("row", "start", "end").agg((F.min("k") - 1).cast("int").alias("kind")).select("row", "start", "kind", "end")
 
 
 def _text(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = 3, confidence: float = 0.8, support: int = 5, smoothing: float = 1.0) -> DataFrame:
     """One row per input row: doc_id, base and spans, arrays of (start, kind number, end) in code points, end exclusive.
 
-    ``spans`` holds ``base`` and what the bootstrapping adds; nothing added
-    overlaps a base span.  A null text counts as empty and has none.  Null and
+    ``spans`` holds ``base`` and what the bootstrapping adds, of the four kinds
+    or the kind ``secret`` (number 4); nothing added overlaps a base span.  A null text counts as empty and has none.  Null and
     repeated ids are carried along; each row is a document of its own.  Other
     columns of the input are not looked at.  An empty table gives an empty
     result.
@@ -187,7 +219,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", iter
     found = keep(occurrences(base_spans(docs)).drop("text"))
     seen = found.where(F.size("seen") > 0).select("row", "base", F.explode("seen").alias("s"))
     clear = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
-    seen = seen.where(clear | F.col("s.kind").isNotNull()).select("row", "s.*")
+    seen = seen.withColumn("clear", clear).where(F.col("clear") | F.col("s.kind").isNotNull()).select("row", "s.*", "clear")
     added = bootstrap(seen, iterations, confidence, support, smoothing).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     all_ = found.join(added, "row", "left")
     return all_.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
