@@ -1,8 +1,10 @@
 """Each operator against brute force on small tables: nulls, blanks, ties, repeated rows, clashing columns, empty tables."""
 
 import collections
+import fractions
 import hashlib
 import inspect
+import math
 import random
 import re
 import types
@@ -12,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pathloom.llm import components, exact_dedup, gru, html_text, lm_score, mixing, near_dedup, packing, pii, queries, simple8b, token_files, topk, toxicity
 from pathloom.llm.common import fold
@@ -103,12 +106,18 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
-def brute_pack(ids, window):
+def brute_pack(lengths, window):
+    """(start in the document, length, sequence, offset) of the pieces, id by id."""
     out, at = [], 0
-    for n in ids:
-        out += [(s, k, q, o) for s, k, q, o in packing.cut(at, n, window)]
-        at += n
-    return out
+    for n in lengths:
+        for k in range(n):
+            sequence, offset = divmod(at, window)
+            if k and offset:
+                out[-1][1] += 1
+            else:
+                out.append([k, 1, sequence, offset])
+            at += 1
+    return [tuple(x) for x in out]
 
 
 def test_packing_keeps_every_id_once(docs, none):
@@ -121,11 +130,32 @@ def test_packing_keeps_every_id_once(docs, none):
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
         assert sum(n for _, n in parts) == 64 or k == max(seen)
-    one = sorted((r.start, r.ids) for r in rows if r.doc_id == 8)
-    assert b"".join(bytes(i) for _, i in one) == encoder(path).encode(ROWS[8][1]) + (2).to_bytes(4, "little")
+    # the documents as they follow each other, each with the ids of the plain library call, cut by brute force
+    order: list = []
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        if r.start == 0:
+            order.append([r.doc_id, r.doc_tokens, b""])
+        order[-1][2] += bytes(r.ids)
+    plain = Tokenizer.from_file(path)
+    want = [(d, np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for d, t, _ in ROWS]
+    assert sorted((d, i) for d, _, i in order) == sorted(want) and all(len(i) == 4 * n for _, n, i in order)
+    cuts = brute_pack([n for _, n, _ in order], 64)
+    assert cuts == [(r.start, r.length, r.sequence_id, r.offset) for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
     assert packing.pack(none, path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_encoder_equals_the_plain_library_call(name, as_text):
+    rng = random.Random(1)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", " ", "  ", "\n", "\t", "a", "Bc", "é", "ß", "İ", "ﬁ", "한", "12", "'s", "don't", ".", "..", ",", "!?", "ª", "µ", "\U0001f600", "_", "-"]
+    texts = ["<|endoftext|> hi", "", *("".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000))]
+    plain, own = Tokenizer.from_file(public_vocabulary(name)), encoder(public_vocabulary(name), special_as_text=as_text)
+    plain.encode_special_tokens = as_text
+    for t in texts:
+        assert own.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 @pytest.mark.parametrize("values", [[], [0], [1] * 500, list(range(3000)), [2**32 - 1, 0, 7], [50256] * 61])
 def test_simple8b_round_trip(values):
     ids = np.array(values, "<u4")
@@ -138,14 +168,10 @@ def test_token_files(docs, none):
     path = public_vocabulary("byte_bpe_50k.json")
     rows = token_files.read_token_files(token_files.write_token_files(docs, path, shard_ids=1000)).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted(r[0] for r in ROWS)
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     at = 0
     for r in rows:
         text = next(x[1] for x in ROWS if x[0] == r.doc_id) or ""
-        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
         assert (r.start, bytes(r.ids)) == (at, np.array(ids, "<u4").tobytes())
         at += len(ids)
     assert token_files.read_token_files(token_files.write_token_files(none, path)).count() == 0
@@ -155,14 +181,29 @@ def test_topk_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)] + [(200, None), (300, [1.0, None, 0.0, 0.0]), (400, [float("nan")] * 4)]
     df = spark.createDataFrame(vectors, "vec_id long, v array<double>")
-    rows = df.where(topk.usable(F.col("v"))).select("vec_id", topk.integer_vector(F.col("v")).alias("vector"))
-    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(rows.where("vec_id % 10 = 0"), rows, k=7).collect()]
-    good = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in vectors[:120]}
+    rows = df.where(topk.usable(F.col("v"))).select("vec_id", F.col("v").alias("vector"))
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(rows.where("vec_id % 10 = 0"), rows, k=7, scale=1024).collect()]
+    assert sorted(got) == brute_topk(vectors[:120], 7)
+
+
+def brute_topk(vectors, k):
+    good = {i: [math.floor(fractions.Fraction(x) * 1024) for x in v] for i, v in vectors}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = []
-    for q in range(0, 120, 10):
-        best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:7]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert sorted(got) == sorted(want)
+    for q in (i for i in good if i % 10 == 0):
+        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q)[:k]
+        want += [(q, n + 1, i, clip(-s)) for n, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+def test_topk_keeps_large_finite_components(spark, monkeypatch):
+    vectors = [(0, [1.0, 2.5]), (1, [1e16, -3.0]), (2, [1e300, 1.7e308]), (3, [-1e16, 0.1]), (10, [1e16, 1e16, 5.0]), (11, [4.0]), (12, [1e16, 1.0])]
+    rows = spark.createDataFrame(vectors + [(20, [float("inf"), 1.0]), (30, [float("nan"), 1.0])], "vec_id long, vector array<double>").where(topk.usable(F.col("vector")))
+    for limit in (topk.BROADCAST_BYTES, -1):  # and where blocks of queries are not broadcast
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", limit)
+        got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(rows.where("vec_id % 10 = 0"), rows, k=4, scale=1024).collect()]
+        assert sorted(got) == brute_topk(vectors, 4)
+    assert topk.exact_topk(rows.limit(0), rows).count() == 0 and topk.exact_topk(rows, rows.limit(0)).count() == 0
 
 
 def test_pii_base_equals_plain_patterns(spark, docs, none):
@@ -186,6 +227,21 @@ def test_pii_base_equals_plain_patterns(spark, docs, none):
     assert pii.find_pii(docs).count() == len(ROWS) and pii.find_pii(none).count() == 0
 
 
+def test_pii_bootstrapping_finds_unseen_identifiers(spark, none):
+    word = "x" * 60
+    texts = [f"Please dial +1 (555) 010-{1000 + i} today." for i in range(12)]
+    texts += ["Please dial 555-0123-77 today.", "We dial (555) 123-4567 today, or never."]  # second, a pattern of the first
+    texts += [f"node {word} 10.0.0.{i} up" for i in range(9)] + [f"node {word} 2001:db8:0:1:1:1:1:1 up"]
+    texts += [f'{"a1b2" * 5}{i} then api_token = "{"9f8e" * 5}{i}" end' for i in range(6)] + ["api_token: Zx81-unknown-0042 end", "my api_token = hunter2hunter2hunter2!!"]
+    texts += ["There were 1200 of 3400 in 2019.", "Version 2.0 of 1999", None, "", " "]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    spans = {texts[i][int(a) : int(e)]: k for i, s in got.items() if s for k, a, e in (x.split(":") for x in s.split(","))}
+    assert spans["555-0123-77"] == spans["(555) 123-4567"] == "phone"
+    assert spans["2001:db8:0:1:1:1:1:1"] == "ip"
+    assert spans["hunter2hunter2hunter2"] == spans["9f8e" * 5 + "3"] == "secret"
+    assert not any(got[i] for i in range(len(texts) - 5, len(texts))) and "a1b2" * 5 + "3" not in spans
+
+
 def test_html(spark):
     article = "<h1>Title &amp; more</h1><p>" + "The boat left   the\nharbour before dawn and nobody saw it go. " * 4 + "</p>"
     page = f"<html><body><nav><a href='/'>Home</a><a>News</a></nav><article>{article}<script>var x</script></article><footer>All rights reserved</footer></body></html>"
