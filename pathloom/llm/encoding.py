@@ -33,25 +33,32 @@ def _byte_letters() -> list[str]:
 
 
 class _Cache(dict):
+    """piece -> ids, in two generations of at most ``limit``: a full one becomes the old one, from which what is used again moves back."""
+
     def __init__(self, encode, limit: int):
         super().__init__()
         self._encode, self._limit = encode, limit
+        self._old: dict = {}
 
     def __missing__(self, piece: str) -> bytes:
+        found = self._old.pop(piece, None)
+        if found is None:
+            found = self._encode(piece)
         if len(self) >= self._limit:
+            self._old = dict(self)
             self.clear()
-        found = self[piece] = self._encode(piece)
+        self[piece] = found
         return found
 
 
 class Encoder:
     """Encodes texts to bytes of little-endian uint32 ids.
 
-    ``limit`` bounds the pieces held (about 200 bytes each); a full cache starts
-    anew, which costs time and changes no result.
+    Some 2 * ``limit`` pieces of about 200 bytes are held at most; a smaller
+    ``limit`` costs time and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, special_as_text: bool = False):
+    def __init__(self, path: str, limit: int = 150_000, special_as_text: bool = False):
         self._t = Tokenizer.from_file(path)
         self._model, self._pre, self._norm = self._t.model, self._t.pre_tokenizer, self._t.normalizer
         self._letters = dict(enumerate(_byte_letters()))
@@ -129,7 +136,7 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, limit: int = 600_000, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, limit: int = 150_000, special_as_text: bool = False) -> Encoder:
     """This process's encoder for a vocabulary file."""
     key = path, limit, special_as_text
     if key not in _encoders:

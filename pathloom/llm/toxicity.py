@@ -2,23 +2,24 @@
 
 Fit (all of bounded size, see :class:`Settings`):
 
-* A sample of at most ``max_examples`` labelled documents, in the order of a
-  hash of their ids, is the collection of examples.
-* Terms are lower-case runs of letters and their stems (:func:`text_terms`).  The vector space has the terms whose
-  presence speaks for the label: the lower end of Wilson's interval (``z``) for
-  the share of toxic documents among the examples with the term is at least
-  ``min_share``; at most ``max_terms`` of them, by that lower end.
-* Document frequencies of these terms are counted over all documents.
-* Examples with at least one term go into a block-max inverted index.
+* A sample of at most ``max_labelled`` labelled documents, in the order of a
+  hash of their ids, tells how much each word speaks for the label: its
+  relevance is the lower end of Wilson's interval (``z``) for the share of toxic
+  documents among those with the word, above the overall share and scaled to
+  0..1.
+* The first ``max_examples`` of them are the examples.  Every word of theirs is
+  a term of the vector space; its weight in a text is (1 + log tf) * idf *
+  (1 + ``evidence`` * relevance), with document frequencies over all documents.
+* All examples go into a block-max inverted index.
 * Leave-one-out votes of the examples calibrate the score (Platt's logistic).
 
 Score: the ``k`` nearest examples vote with weight 1 / (distance + ``soft``);
-the vote, drawn to the prior by ``prior_weight``, is calibrated.  Texts without
-any term get the toxic share of the examples without any.
+the vote, drawn to the prior by ``prior_weight``, is calibrated.  Only texts
+without any word of any example have no neighbours; they get the prior.
 
-The search is exact: blocks of examples are taken by falling upper bound
-(sum over query terms of weight times the block's maximum) until no bound can
-reach the k-th best.
+The search is exact: the two blocks of examples with the highest upper bounds
+(sum over query terms of weight times the block's maximum) are scored first,
+then all blocks whose bound reaches the k-th best so far.
 """
 
 from __future__ import annotations
@@ -31,97 +32,108 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import keep, ship, text_of
+from pathloom.llm.common import keep, release, ship, text_of
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def text_terms(text: str) -> list[str]:
-    """The terms of a text, repeats included: its words, and of longer words the first four and five letters, marked by ^ (one stem for its many endings)."""
-    words = _WORDS.findall(text.lower())
-    return words + ["^" + w[:4] for w in words if len(w) > 4] + ["^" + w[:5] for w in words if len(w) > 5]
+    """The terms of a text, repeats included: its runs of letters in lower case."""
+    return _WORDS.findall(text.lower())
 
 
 @dataclass(frozen=True)
 class Settings:
     """The bounds of what is fitted and sent to each worker, and the parameters of the vote."""
 
-    max_examples: int = 20_000
-    max_terms: int = 4096
-    z: float = 3.0
-    min_share: float = 0.5
+    max_labelled: int = 20_000
+    max_examples: int = 4096
+    z: float = 2.0
+    evidence: float = 10.0
     k: int = 25
     soft: float = 0.05
     prior_weight: float = 1.0
-    block: int = 64
+    block: int = 256
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples by term, in blocks of consecutive examples, with each term's maximum per block."""
+    """Vectors of examples by term, in blocks of consecutive examples, with each term's maximum per block.
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int):
+    A vector is (terms, weights), two arrays; weights are at least 0.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int):
         self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block)
-        postings: list[tuple[list[int], list[float]]] = [([], []) for _ in range(terms)]
-        for example, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings[term][0].append(example)
-                postings[term][1].append(weight)
-        self.ids = [np.array(i, np.int64) for i, _ in postings]
-        self.weights = [np.array(w, np.float64) for _, w in postings]
-        self.cuts = [np.searchsorted(i, np.arange(self.blocks + 1) * block) for i in self.ids]
-        self.peaks = np.zeros((terms, self.blocks))
-        for term, (ids, weights) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.peaks[term], ids // block, weights)
-
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.blocks = max(1, -(-self.n // block))
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]).astype(np.int32)
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        order = np.lexsort((owner, term))
+        self.ids, self.weights = owner[order], weight[order]
+        cell = term[order] * self.blocks + self.ids // block
+        #: Postings of a term in a block: from this place of its cell to that of the next.
+        self.cuts = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
+        self.peaks = np.zeros(terms * self.blocks, np.float32)
+        np.maximum.at(self.peaks, cell, np.nextafter(self.weights.astype(np.float32), np.float32(np.inf)))
+        self.peaks = self.peaks.reshape(terms, self.blocks)
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Inner products with the examples of the blocks; 0 for all others."""
+        cells = (terms[:, None] * self.blocks + blocks[None, :]).reshape(-1)
+        first = self.cuts[cells]
+        sizes = self.cuts[cells + 1] - first
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.ids[at], self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), self.n)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k best with a cosine above 0, best first; ties go to the earlier example."""
-        terms = sorted(query)
-        bounds = sum((query[t] * self.peaks[t] for t in terms), np.zeros(self.blocks))
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            # (a bound may differ from the sum it bounds in the last place)
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1] - 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for t in terms:
-                a, e = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.ids[t][a:e] - b * self.block] += query[t] * self.weights[t][a:e]
-            hit = np.flatnonzero(scores > 0)
-            ids = np.concatenate([best_ids, hit + b * self.block])
-            got = np.concatenate([best, scores[hit]])
-            order = np.lexsort((ids, -got))[:k]
-            best_ids, best = ids[order], got[order]
-        return best_ids, np.minimum(best, 1.0)
+        bounds = weights @ self.peaks[terms]
+        order = np.argsort(-bounds, kind="stable")
+        scores = self._scores(terms, weights, order[:2])
+        best = np.partition(scores, max(0, self.n - k))[max(0, self.n - k)] if self.n >= k else 0.0
+        # (a bound may differ from the sum it bounds in the last place)
+        rest = order[2:][(bounds[order[2:]] > 0) & (bounds[order[2:]] >= best - 1e-9)]
+        if len(rest):
+            scores += self._scores(terms, weights, rest)
+        hit = np.flatnonzero(scores > 0)
+        if len(hit) > k:
+            hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - k)[len(hit) - k]]
+        hit = hit[np.lexsort((hit, -scores[hit]))[:k]]
+        return hit, np.minimum(scores[hit], 1.0)
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[int, int]]], empty: tuple[int, int], settings: Settings):
-        """``examples``: (id, label, counts) of those with a term; ``empty``: number and toxic number of those without."""
+    def __init__(self, terms: list[str], boost: np.ndarray, idf: np.ndarray, examples: list[tuple[object, int, Counter]], settings: Settings):
+        """``boost``: factor of each term for its relevance; ``examples``: (id, label, counts by term)."""
         self.settings, self.terms = settings, {t: n for n, t in enumerate(terms)}
-        self.idf = idf
+        self.boosted = idf * boost
+        # blocks of alike examples have tight bounds: by their most frequent word (a language's), whether relevant words rule them, and length
+        def alike(e):
+            at, weights = self.vector(e[2])
+            return (max(sorted(e[2]), key=e[2].get, default=""), bool((weights[boost[at] > 1] ** 2).sum() > 0.5), len(at))
+
+        examples = sorted(examples, key=alike)
         self.names = [e[0] for e in examples]
         self.labels = np.array([e[1] for e in examples], np.float64)
         vectors = [self.vector(e[2]) for e in examples]
         self.index = BlockMaxIndex(vectors, len(terms), settings.block)
-        total, toxic = empty[0] + len(examples), empty[1] + self.labels.sum()
-        self.prior = (toxic + 0.5) / (total + 1)
-        self.without = (empty[1] + 0.5) / (empty[0] + 1)
+        self.prior = (self.labels.sum() + 0.5) / (len(examples) + 2)
         self.slope, self.shift = 1.0, 0.0
         self._calibrate(vectors)
-        self._seen: dict[tuple, tuple[float, list]] = {}
-
-    def counts(self, text: str) -> dict[int, int]:
-        found = Counter(filter(None.__ne__, map(self.terms.get, text_terms(text)))) if self.terms else {}
-        return dict(found)
+        self._seen: dict[bytes, tuple[float, list]] = {}
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(c)) * float(self.idf[t]) for t, c in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a unit vector."""
+        found = [(self.terms[t], c) for t, c in counts.items() if t in self.terms]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.array([t for t, _ in found])
+        raw = (1 + np.log([c for _, c in found])) * self.boosted[at]
+        return at, raw / math.sqrt(raw @ raw)
 
     def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         weights = 1 / (1 - cosines + self.settings.soft)
@@ -129,19 +141,15 @@ class Model:
         share = (float(weights @ self.labels[ids]) + m * self.prior) / (float(weights.sum()) + m)
         return math.log(share / (1 - share))
 
-    def _calibrate(self, vectors: list[dict[int, float]]) -> None:
+    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        y = self.labels
+        if len(y) < 20 or y.min() == y.max():
+            return
         votes = []
-        memo: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        for n, v in enumerate(vectors):
-            key = tuple(sorted(v.items()))
-            if key not in memo:
-                memo[key] = self.index.nearest(v, self.settings.k + 1)
-            ids, cosines = memo[key]
+        for n, (terms, weights) in enumerate(vectors):
+            ids, cosines = self.index.nearest(terms, weights, self.settings.k + 1)
             rest = np.flatnonzero(ids != n)[: self.settings.k]
             votes.append(self._vote(ids[rest], cosines[rest]))
-        y = self.labels
-        if len(votes) < 20 or y.min() == y.max() and len(votes) < 20:
-            return
         # Platt's targets keep a separable sample finite
         up, down = y.sum(), len(y) - y.sum()
         goal = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
@@ -159,37 +167,38 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[object, float, int]]]:
         """(calibrated score, the three nearest examples as (id, cosine, label))."""
-        counts = self.counts(text)
-        if not counts:
-            return self.without, []
-        key = tuple(sorted(counts.items()))
+        key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
         if key not in self._seen:
-            if len(self._seen) >= 50_000:
+            if len(self._seen) >= 5_000:
                 self._seen.clear()
-            ids, cosines = self.index.nearest(self.vector(counts), self.settings.k)
+            ids, cosines = self.index.nearest(*self.vector(Counter(text_terms(text))), self.settings.k)
             z = self.slope * self._vote(ids, cosines) + self.shift
             near = [(self.names[i], float(c), int(self.labels[i])) for i, c in zip(ids[:3], cosines[:3], strict=True)]
-            self._seen[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), near
+            self._seen[key] = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if len(ids) else float(self.prior)), near
         return self._seen[key]
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        counts = [Counter(text_terms(t)) for t in b.column(2).to_pylist()]
+        counts = [Counter(text_terms(t)) for t in b.column(3).to_pylist()]
         terms = pa.array([list(c) for c in counts], pa.list_(pa.string()))
         numbers = pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), terms, numbers], names=["doc_id", "label", "terms", "counts"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], terms, numbers], names=["doc_id", "label", "example", "terms", "counts"])
 
 
-def _frequencies(terms: dict[str, int]):
+def _frequencies(shared):
+    """Of each term, in how many texts it occurs; under -1, the number of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = np.zeros(len(terms), np.int64), 0
+        terms, n = shared.value, 0
+        found = np.zeros(len(terms), np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                hit = {terms[w] for w in terms.keys() & set(text_terms(t))}
-                found[list(hit)] += 1
+            for t in b.column(0):
+                hit = [terms[w] for w in set(text_terms(t.as_py())) if w in terms]
+                found[hit] += 1
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(terms)), -1], pa.int32()), pa.array([*found.tolist(), n], pa.int64())], names=["term", "n"])
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), -1], pa.int32()), pa.array([*found[held].tolist(), n], pa.int64())], names=["term", "n"])
 
     return run
 
@@ -198,63 +207,51 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     """``docs``: (doc_id, text); ``labels``: (doc_id, label 0/1); ``learn``: which rows of ``labels`` may be learned from.
 
     A label that is neither 0 nor 1 is no label.  An id with several labels
-    counts as toxic if any says so.  Labels without a document are unused.
+    counts as toxic if any says so; of several texts with one id the first in
+    order is learned from.  Labels without a document are unused.  Without any
+    usable label the score is 0.25 throughout.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     usable = labels.where(learn & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_examples)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", text_of("text").alias("text"))
+    first = usable.orderBy(F.xxhash64("doc_id"), "doc_id")
+    examples = first.limit(settings.max_examples).withColumn("example", F.lit(True))
+    chosen = first.limit(settings.max_labelled).join(examples.select("doc_id", "example"), "doc_id", "left")
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(  # one text an id, so that the bounds hold
+        F.first("label").alias("label"), F.coalesce(F.first("example"), F.lit(False)).alias("example"), F.min(text_of("text")).alias("text")
+    )
     kind = dict(docs.dtypes)["doc_id"]
-    held = keep(sample.mapInArrow(_presence, f"doc_id {kind}, label int, terms array<string>, counts array<int>"))
+    held = keep(sample.mapInArrow(_presence, f"doc_id {kind}, label int, example boolean, terms array<string>, counts array<int>"))
+    share = held.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("p")).first().p
     n, a, z2 = F.col("n"), F.col("a"), settings.z**2
     p = a / n
     low = (p + z2 / (2 * n) - settings.z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    found = (
-        held.select("label", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("a"))
-        .withColumn("low", low)
-        .where(F.col("low") >= settings.min_share)
-        .orderBy(F.col("low").desc(), "term")
-        .limit(settings.max_terms)
-        .collect()  # at most max_terms rows
-    )
-    terms = sorted(r.term for r in found)
-    place = {t: i for i, t in enumerate(terms)}
-    df = np.zeros(len(terms))
-    total = 0
+    found = held.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("a"))
+    found = found.select("term", ((low - share) / max(1 - share, 1e-9)).alias("relevance")).where(F.col("relevance") > 0)
+    relevance = {r.term: r.relevance for r in found.toLocalIterator()}  # terms of at most max_labelled texts
+    rows = held.where("example").select("doc_id", "label", "terms", "counts").toArrow().to_pylist()  # at most max_examples texts
+    release(held)
+    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
+    rows = [(r["doc_id"], r["label"], Counter(dict(zip(r["terms"], r["counts"], strict=True)))) for r in rows]
+    terms = sorted(set().union(*(r[2] for r in rows)))
+    df, total = np.zeros(len(terms)), 0
     if terms:
-        counts = docs.select(text_of("text").alias("text")).mapInArrow(_frequencies(place), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        for r in counts.collect():  # one row a term
-            if r.term < 0:
-                total = r.n
-            else:
-                df[r.term] = r.n
+        shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+        counts = docs.select(text_of("text").alias("text")).mapInArrow(_frequencies(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = counts.toArrow()  # one row a term
+        at, seen = counts.column("term").to_numpy(), counts.column("n").to_numpy()
+        df[at[at >= 0]], total = seen[at >= 0], int(seen[at < 0].sum())
+        shared.unpersist()
     idf = np.log((1 + total) / (1 + df)) + 1
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, labels_, terms_, numbers = (c.to_pylist() for c in b.columns)
-            kept = [[(place[t], c) for t, c in zip(ts, cs, strict=True) if t in place] for ts, cs in zip(terms_, numbers, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.int32())), pa.array([[c for _, c in k] for k in kept], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "terms", "counts"],
-            )
-
-    # at most max_examples rows of a few terms each
-    rows = held.mapInArrow(reduce, f"doc_id {kind}, label int, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.terms, r.counts))
-    bare = [r.label for r in rows if not r.terms]
-    examples = [(r.doc_id, r.label, dict(zip(r.terms, r.counts, strict=True))) for r in rows if r.terms]
-    return Model(terms, idf, examples, (len(bare), sum(bare)), settings)
+    boost = 1 + settings.evidence * np.array([relevance.get(t, 0.0) for t in terms])
+    return Model(terms, boost, idf, rows, settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) named ``doc_id``: doc_id, score, predicted, evidence.
 
     One row per input row.  A null text counts as empty and, like every text
-    without a term of the model, gets the share of toxic ones among such
-    examples.  Ids are carried along and play no part.  The evidence lists the
+    without a word of any example, gets the share of toxic examples.  Ids are carried along and play no part.  The evidence lists the
     nearest examples: id, cosine, label.  An empty table gives an empty result.
     """
     spark = docs.sparkSession

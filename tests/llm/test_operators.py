@@ -254,19 +254,64 @@ def test_html(spark):
 
 def test_toxicity_search_is_exact_and_learns(spark, none):
     rng = np.random.default_rng(0)
-    vectors = [{int(t): float(w) for t, w in zip(rng.choice(30, 4, replace=False), rng.random(4), strict=True)} for _ in range(200)]
-    index = toxicity.BlockMaxIndex(vectors, 30, 16)
-    for q in vectors[:40]:
-        ids, scores = index.nearest(q, 9)
-        brute = sorted(((-sum(w * v.get(t, 0) for t, w in q.items()), i) for i, v in enumerate(vectors)))[:9]
-        assert np.allclose(scores, np.minimum([-s for s, _ in brute], 1.0))
+    vectors = [(rng.choice(30, 4, replace=False), rng.random(4)) for _ in range(200)]
+    dense = np.zeros((200, 30))
+    for row, (t, w) in zip(dense, vectors, strict=True):
+        row[t] = w
+    for block in (1, 16, 500):
+        index = toxicity.BlockMaxIndex(vectors, 30, block)
+        for t, w in vectors[:40]:
+            ids, scores = index.nearest(t, w, 9)
+            products = dense[:, t] @ w
+            brute = sorted((-s, i) for i, s in enumerate(products) if s > 0)[:9]
+            assert np.allclose(scores, np.minimum([-s for s, _ in brute], 1.0)) and np.allclose(products[ids], [-s for s, _ in brute])
+    assert len(toxicity.BlockMaxIndex([], 3, 16).nearest(np.zeros(0, np.int64), np.zeros(0), 5)[0]) == 0
     words = [f"calm{n}" for n in range(30)]
     rows = [(i, " ".join(rng.choice(words, 20)) + (" vile nasty" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     scored = toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"), fold("doc_id", 5) != 0).collect()
     truth = {i: y for i, _, y in rows}
     assert np.mean([r.predicted == truth[r.doc_id] for r in scored]) > 0.99
+    assert all(len(r.evidence) == 3 for r in scored)  # every text has neighbours
     assert toxicity.toxicity(none, df.select("doc_id", "toxic"), fold("doc_id", 5) != 0).count() == 0
+    # clashing columns, a null text, an id with several texts and labels, and no usable label at all
+    odd = spark.createDataFrame([(1, "vile calm1", 5, 0.5), (1, "calm2", 5, 0.5), (2, None, 5, 0.5), (None, "calm3", 5, 0.5)], "doc_id long, text string, label int, score double")
+    assert [r.predicted for r in toxicity.toxicity(odd, df.select("doc_id", F.lit(0).alias("toxic")).union(odd.select("doc_id", F.lit(0))), F.lit(True)).collect()] == [0] * 4
+    assert {(r.score, r.predicted) for r in toxicity.toxicity(odd, df.select("doc_id", F.lit(7).alias("toxic")), F.lit(True)).collect()} == {(0.25, 0)}
+
+
+def test_toxicity_score_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{'abcdefghij'[n % 10]}{'klmnopqrst'[n // 10]}" for n in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(3, 40))) + (" vile" if i % 6 == 0 else "") for i in range(300)] + ["", "zzz"]
+    marks = [int(i % 6 == 0) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(list(enumerate(marks)), "doc_id long, label int"), F.lit(True), toxicity.Settings(k=5, block=16))
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    counts = [collections.Counter(re.findall("[a-z]+", t)) for t in texts]
+    n, z, share = 300, 2.0, sum(marks) / 300
+
+    def weight(w):
+        has = [y for c, y in zip(counts, marks, strict=False) if w in c]
+        p, m = sum(has) / len(has), len(has)
+        low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        return (math.log((1 + len(texts)) / (1 + m)) + 1) * (1 + 10 * max(0.0, (low - share) / (1 - share)))
+
+    weights = {w: weight(w) for w in set().union(*counts[:300])}
+
+    def unit(c):
+        v = {w: (1 + math.log(k)) * weights[w] for w, k in c.items() if w in weights}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors, prior = [unit(c) for c in counts], (sum(marks) + 0.5) / (n + 2)
+    for i in range(len(texts)):
+        cosines = sorted(((sum(x * vectors[e].get(w, 0) for w, x in vectors[i].items()), e) for e in range(300)), reverse=True)[:5]
+        near = [(c, e) for c, e in cosines if c > 0]
+        votes = [1 / (1.05 - min(c, 1.0)) for c, _ in near]
+        p = (sum(v * marks[e] for v, (_, e) in zip(votes, near, strict=True)) + prior) / (sum(votes) + 1)
+        want = 1 / (1 + math.exp(-(model.slope * math.log(p / (1 - p)) + model.shift))) if near else prior
+        assert got[i].score == pytest.approx(want, abs=1e-9), i
 
 
 def test_language_model_gradient():
