@@ -3,6 +3,7 @@
 import collections
 import fractions
 import hashlib
+import html
 import inspect
 import math
 import random
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pathloom.llm import components, exact_dedup, gru, html_text, lm_score, mixing, near_dedup, packing, pii, queries, simple8b, token_files, topk, toxicity
+from pathloom.llm import components, exact_dedup, gru, html_text, labelled_pages, lm_score, mixing, near_dedup, packing, pii, queries, simple8b, token_files, topk, toxicity
 from pathloom.llm.common import fold
 from pathloom.llm.encoding import encoder, public_vocabulary
 from tests.conftest import SF
@@ -252,6 +253,39 @@ def test_html(spark):
     assert len(got) == 5 and all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (2, 3))
 
 
+def test_html_scan_finds_the_best_of_all_regions():
+    rng = random.Random(5)
+    for _ in range(300):
+        gains = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(12))]
+        begin, end = html_text.best_region(gains)
+        best = max((sum(gains[a:e]) for a in range(len(gains)) for e in range(a + 1, len(gains) + 1)), default=0.0)
+        assert sum(gains[begin:end]) == max(best, 0.0)
+
+
+def test_html_on_sites_that_were_not_learned_from():
+    names = tuple(range(len(labelled_pages._SITES)))
+    for left_out in names:
+        weights = html_text.Weights.learn(labelled_pages.pages(12, tuple(s for s in names if s != left_out)))
+        hit = found = wanted = 0
+        for page in labelled_pages.pages(15, (left_out,)):
+            marks = html_text._Marks(page, "data-main")
+            inside = " ".join(r.value for r in html_text.runs_of(page)[0] if marks.now(r.what, r.value) and r.what == "text")
+            got, want = collections.Counter(html_text.main_text(page, weights).split()), collections.Counter(html.unescape(inside).split())
+            hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+        assert hit > 0.85 * found and hit > 0.9 * wanted, labelled_pages._SITES[left_out]
+
+
+def test_html_furniture_inside_the_article_and_odd_markup(spark):
+    story = "<p>The boat left the harbour before dawn and nobody saw it go, not even the baker.</p>"
+    page = f"<body><nav><a href=/>Home</a></nav><article>{story * 2}<div class=ad>Lamps at half price today</div>{story}<p>a &lt;b&gt;<br>c</p></article><section id=comments><p>I was there too.</p></section>"
+    text = html_text.main_text(page)
+    assert "Lamps" not in text and "Home" not in text and "I was" not in text and text.endswith("a <b>\nc") and text.count("The boat") == 3
+    pages = [page, "<!" * 40_000, "<div>" * 40_000, "<b>" * 20_000 + "</i>" * 20_000, "<a 'x" * 20_000, "plain words only", "<script>x"]
+    rows = spark.createDataFrame([(1, "u", p, "clash", 7) for p in pages], "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract(rows).collect()
+    assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got) and html_text.extract(rows.limit(0)).count() == 0
+
+
 def test_toxicity_search_is_exact_and_learns(spark, none):
     rng = np.random.default_rng(0)
     vectors = [(rng.choice(30, 4, replace=False), rng.random(4)) for _ in range(200)]
