@@ -17,9 +17,10 @@ Score: the ``k`` nearest examples vote with weight 1 / (distance + ``soft``);
 the vote, drawn to the prior by ``prior_weight``, is calibrated.  Only texts
 without any word of any example have no neighbours; they get the prior.
 
-The search is exact: the two blocks of examples with the highest upper bounds
-(sum over query terms of weight times the block's maximum) are scored first,
-then all blocks whose bound reaches the k-th best so far.
+The search is exact: rare terms are summed by their posting lists; a block's
+upper bound is its best such sum plus, over the frequent terms of the query,
+weight times the block's maximum.  The block with the highest bound is scored in
+full first, then all whose bound reaches the k-th best so far.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,50 +62,89 @@ class Settings:
     block: int = 256
 
 
+#: A term in more than this share of the examples has a dense row, at most so many of them (20 MB at the defaults).
+_FREQUENT, _DENSE = 0.05, 1024
+#: Texts that are searched at a time.
+_BATCH = 64
+
+
 class BlockMaxIndex:
-    """Vectors of examples by term, in blocks of consecutive examples, with each term's maximum per block.
+    """Vectors of examples by term, in blocks of consecutive examples; of frequent terms also each block's maximum.
 
-    A vector is (terms, weights), two arrays; weights are at least 0.
+    A vector is (terms, weights), two arrays; weights are at least 0.  Rare
+    terms are posting lists, frequent ones rows over all examples.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int):
         self.n, self.block = len(vectors), block
         self.blocks = max(1, -(-self.n // block))
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
-        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]).astype(np.int32)
+        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         order = np.lexsort((owner, term))
-        self.ids, self.weights = owner[order], weight[order]
-        cell = term[order] * self.blocks + self.ids // block
-        #: Postings of a term in a block: from this place of its cell to that of the next.
-        self.cuts = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
-        self.peaks = np.zeros(terms * self.blocks, np.float32)
-        np.maximum.at(self.peaks, cell, np.nextafter(self.weights.astype(np.float32), np.float32(np.inf)))
-        self.peaks = self.peaks.reshape(terms, self.blocks)
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Inner products with the examples of the blocks; 0 for all others."""
-        cells = (terms[:, None] * self.blocks + blocks[None, :]).reshape(-1)
-        first = self.cuts[cells]
-        sizes = self.cuts[cells + 1] - first
-        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.ids[at], self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), self.n)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k best with a cosine above 0, best first; ties go to the earlier example."""
-        bounds = weights @ self.peaks[terms]
-        order = np.argsort(-bounds, kind="stable")
-        scores = self._scores(terms, weights, order[:2])
-        best = np.partition(scores, max(0, self.n - k))[max(0, self.n - k)] if self.n >= k else 0.0
-        # (a bound may differ from the sum it bounds in the last place)
-        rest = order[2:][(bounds[order[2:]] > 0) & (bounds[order[2:]] >= best - 1e-9)]
-        if len(rest):
-            scores += self._scores(terms, weights, rest)
-        hit = np.flatnonzero(scores > 0)
-        if len(hit) > k:
-            hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - k)[len(hit) - k]]
-        hit = hit[np.lexsort((hit, -scores[hit]))[:k]]
-        return hit, np.minimum(scores[hit], 1.0)
+        self.ids, self.weights = owner[order].astype(np.int32), weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(terms + 1)).astype(np.int64)
+        sizes = np.diff(self.starts)
+        frequent = np.flatnonzero(sizes > _FREQUENT * self.n)
+        frequent = frequent[np.argsort(-sizes[frequent], kind="stable")[:_DENSE]]
+        self.row = np.full(terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self._rows: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_rows": None}
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Dense rows (term, block, place) of the frequent terms and their block maxima; made once a process."""
+        if self._rows is None:
+            frequent = np.flatnonzero(self.row >= 0)
+            dense = np.zeros((len(frequent), self.blocks * self.block))
+            for t in frequent:
+                a, e = self.starts[t], self.starts[t + 1]
+                dense[self.row[t], self.ids[a:e]] = self.weights[a:e]
+            dense = dense.reshape(len(frequent), self.blocks, self.block)
+            self._rows = np.ascontiguousarray(dense.transpose(1, 0, 2)), dense.max(axis=2, initial=0.0)
+        return self._rows
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (examples, cosines) of the k best with a cosine above 0, best first; ties go to the earlier example."""
+        dense, peaks = self.rows()
+        q, span = len(queries), self.blocks * self.block
+        scores, asked = np.zeros((q, self.blocks, self.block)), np.zeros((q, len(peaks)))
+        for n, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            often = row >= 0
+            asked[n, row[often]] = weights[often]
+            terms, weights = terms[~often], weights[~often]
+            first = self.starts[terms]
+            sizes = self.starts[terms + 1] - first
+            at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+            at += np.arange(len(at))
+            scores[n] = np.bincount(self.ids[at], self.weights[at] * np.repeat(weights, sizes), span).reshape(self.blocks, self.block)
+        # rare terms are summed; a block's bound adds the most that its frequent terms can
+        bounds = scores.max(axis=2) + asked @ peaks
+        done = np.zeros(bounds.shape, bool)
+
+        def add(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(axis=0)):
+                which = np.flatnonzero(need[:, b])
+                scores[which, b] += asked[which] @ dense[b]
+            done[need] = True
+
+        top = bounds.argmax(axis=1)
+        add(np.arange(self.blocks)[None, :] == top[:, None])
+        best = np.partition(scores[np.arange(q), top], self.block - k, axis=1)[:, self.block - k] if self.block >= k else np.zeros(q)
+        # (a bound may differ from the sum it bounds in the last places)
+        add((bounds > 0) & (bounds >= best[:, None] - 1e-9) & ~done)
+        scores[~done] = 0.0
+        found = []
+        for line in np.round(scores.reshape(q, span), 12):  # what the order of summation changes is no difference
+            hit = np.flatnonzero(line > 0)
+            if len(hit) > k:
+                hit = hit[line[hit] >= np.partition(line[hit], len(hit) - k)[len(hit) - k]]
+            hit = hit[np.lexsort((hit, -line[hit]))[:k]]
+            found.append((hit, np.minimum(line[hit], 1.0)))
+        return found
 
 
 class Model:
@@ -128,11 +169,12 @@ class Model:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a unit vector."""
-        found = [(self.terms[t], c) for t, c in counts.items() if t in self.terms]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([t for t, _ in found])
-        raw = (1 + np.log([c for _, c in found])) * self.boosted[at]
+        at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        known = at >= 0
+        at = at[known]
+        if not len(at):
+            return at, np.zeros(0)
+        raw = (1 + np.log(np.fromiter(counts.values(), np.float64, len(known))[known])) * self.boosted[at]
         return at, raw / math.sqrt(raw @ raw)
 
     def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
@@ -146,10 +188,10 @@ class Model:
         if len(y) < 20 or y.min() == y.max():
             return
         votes = []
-        for n, (terms, weights) in enumerate(vectors):
-            ids, cosines = self.index.nearest(terms, weights, self.settings.k + 1)
-            rest = np.flatnonzero(ids != n)[: self.settings.k]
-            votes.append(self._vote(ids[rest], cosines[rest]))
+        for start in range(0, len(vectors), _BATCH):
+            for n, (ids, cosines) in enumerate(self.index.nearest(vectors[start : start + _BATCH], self.settings.k + 1), start):
+                rest = np.flatnonzero(ids != n)[: self.settings.k]
+                votes.append(self._vote(ids[rest], cosines[rest]))
         # Platt's targets keep a separable sample finite
         up, down = y.sum(), len(y) - y.sum()
         goal = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
@@ -165,17 +207,18 @@ class Model:
         if a > 0:
             self.slope, self.shift = float(a), float(b)
 
-    def score(self, text: str) -> tuple[float, list[tuple[object, float, int]]]:
-        """(calibrated score, the three nearest examples as (id, cosine, label))."""
-        key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
-        if key not in self._seen:
-            if len(self._seen) >= 5_000:
-                self._seen.clear()
-            ids, cosines = self.index.nearest(*self.vector(Counter(text_terms(text))), self.settings.k)
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[object, float, int]]]]:
+        """For each text (calibrated score, the three nearest examples as (id, cosine, label)); equal texts are searched once."""
+        keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        if len(self._seen) > 5_000:
+            self._seen.clear()
+        fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in self._seen}
+        vectors = [self.vector(Counter(text_terms(t))) for t in fresh.values()]
+        for key, (ids, cosines) in zip(fresh, self.index.nearest(vectors, self.settings.k) if vectors else [], strict=True):
             z = self.slope * self._vote(ids, cosines) + self.shift
             near = [(self.names[i], float(c), int(self.labels[i])) for i, c in zip(ids[:3], cosines[:3], strict=True)]
             self._seen[key] = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if len(ids) else float(self.prior)), near
-        return self._seen[key]
+        return [self._seen[k] for k in keys]
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +237,9 @@ def _frequencies(shared):
         found = np.zeros(len(terms), np.int64)
         for b in batches:
             for t in b.column(0):
-                hit = [terms[w] for w in set(text_terms(t.as_py())) if w in terms]
-                found[hit] += 1
+                words = set(text_terms(t.as_py()))
+                hit = np.fromiter(map(terms.get, words, repeat(-1)), np.int64, len(words))
+                found[hit[hit >= 0]] += 1
                 n += 1
         held = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), -1], pa.int32()), pa.array([*found[held].tolist(), n], pa.int64())], names=["term", "n"])
@@ -262,11 +306,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            scores, near = [], []
-            for t in b.column(1):
-                s, e = m.score(t.as_py())
-                scores.append(s)
-                near.append([{"doc_id": i, "cosine": c, "label": y} for i, c, y in e])
+            found = [x for start in range(0, b.num_rows, _BATCH) for x in m.scores(b.column(1).slice(start, _BATCH).to_pylist())]
+            scores = [s for s, _ in found]
+            near = [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found]
             what = pa.list_(pa.struct([("doc_id", b.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(near, what)], names=["doc_id", "score", "evidence"])
 

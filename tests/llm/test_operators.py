@@ -286,20 +286,20 @@ def test_html_furniture_inside_the_article_and_odd_markup(spark):
     assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got) and html_text.extract(rows.limit(0)).count() == 0
 
 
-def test_toxicity_search_is_exact_and_learns(spark, none):
+def test_toxicity_search_is_exact_and_learns(spark, none, monkeypatch):
     rng = np.random.default_rng(0)
     vectors = [(rng.choice(30, 4, replace=False), rng.random(4)) for _ in range(200)]
     dense = np.zeros((200, 30))
     for row, (t, w) in zip(dense, vectors, strict=True):
         row[t] = w
-    for block in (1, 16, 500):
+    for block, share in ((1, 0.05), (16, 0.05), (16, 0.15), (500, 1.0)):
+        monkeypatch.setattr(toxicity, "_FREQUENT", share)
         index = toxicity.BlockMaxIndex(vectors, 30, block)
-        for t, w in vectors[:40]:
-            ids, scores = index.nearest(t, w, 9)
+        for (t, w), (ids, scores) in zip(vectors[:40], index.nearest(vectors[:40], 9), strict=True):
             products = dense[:, t] @ w
             brute = sorted((-s, i) for i, s in enumerate(products) if s > 0)[:9]
             assert np.allclose(scores, np.minimum([-s for s, _ in brute], 1.0)) and np.allclose(products[ids], [-s for s, _ in brute])
-    assert len(toxicity.BlockMaxIndex([], 3, 16).nearest(np.zeros(0, np.int64), np.zeros(0), 5)[0]) == 0
+    assert len(toxicity.BlockMaxIndex([], 3, 16).nearest([(np.zeros(0, np.int64), np.zeros(0))], 5)[0][0]) == 0
     words = [f"calm{n}" for n in range(30)]
     rows = [(i, " ".join(rng.choice(words, 20)) + (" vile nasty" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
