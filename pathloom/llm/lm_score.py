@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import gru
-from pathloom.llm.common import keep, ship, text_of
+from pathloom.llm.common import keep, release, ship, text_of
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
@@ -283,11 +283,13 @@ def train(encoded: DataFrame, v: Vocabulary, settings: Settings) -> np.ndarray:
     for turn in range(settings.rounds):
         shared = spark.sparkContext.broadcast((weights, squares))
         found = rows.coalesce(trainers).mapInArrow(_train(shared, settings, turn), "n long, weights binary, squares binary")
-        merged = keep(found)
+        merged = kept = keep(found)
         fan = math.isqrt(trainers)
-        if fan > 1:
+        while fan > 1:  # each task sums about as many rows as the next step has tasks
             merged = merged.repartition(fan).mapInArrow(_sum, "n long, weights binary, squares binary")
-        total = merged.coalesce(1).mapInArrow(_sum, "n long, weights binary, squares binary").collect()  # one row
+            fan = math.isqrt(fan)
+        total = merged.repartition(1).mapInArrow(_sum, "n long, weights binary, squares binary").collect()  # one row
+        release(kept)
         shared.unpersist()
         if total:
             weights, squares = (np.frombuffer(x, "<f4") / np.float32(total[0].n) for x in (total[0].weights, total[0].squares))

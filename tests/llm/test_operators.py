@@ -365,6 +365,84 @@ def test_language_model_gradient():
     assert np.allclose(split[0], split[1], atol=1e-3)
 
 
+def plain_log_likelihood(shape, p, ids):
+    """Natural log-likelihood of a text step by step in double precision, and the state after it."""
+    p = {k: v.astype(float) for k, v in p.items()}
+    soft = lambda x: x / (1 + np.abs(x))
+    h, n, total, given = np.zeros(shape.hidden), shape.hidden, 0.0, shape.start
+    for i in ids:
+        x, inner = p["table"][given] + p["gate"], h @ p["turn"]
+        reset, update = (1 + soft(x[:n] + inner[:n])) / 2, (1 + soft(x[n : 2 * n] + inner[n : 2 * n])) / 2
+        h = update * h + (1 - update) * soft(x[2 * n :] + reset * inner[2 * n :])
+        kind = i // shape.width if i < shape.words else i - shape.words + shape.word_classes
+        logits = h @ p["to_class"] + p["class_bias"]
+        total += logits[kind] - np.log(np.exp(logits).sum())
+        if i < shape.words:
+            logits = h @ p["to_word"][kind] + p["word_bias"][kind]
+            total += logits[i % shape.width] - np.log(np.exp(logits).sum())
+        given = i
+    return total
+
+
+def test_language_model_gradient_is_numeric(monkeypatch):
+    shape = gru.Shape(10, 4, 3, 5)
+    rng = np.random.default_rng(2)
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in gru.initial(shape, np.arange(10) + 1.0, np.ones(3)).items()}
+    ids = rng.integers(0, 13, 9)
+    assert gru.log_likelihoods(shape, p, [ids], window=4)[0] == pytest.approx(plain_log_likelihood(shape, p, ids), rel=1e-5)
+    grads = {k: np.zeros(v.shape) for k, v in p.items()}
+
+    def collect(self, name, at, grad):
+        grads[name][at] += grad
+
+    monkeypatch.setattr(gru.Trainer, "_step", collect)
+    trainer = gru.Trainer(shape, p, {}, 0.1)
+    inputs = np.array([shape.start, *ids[:-1]])[:, None]
+    fresh = np.zeros((9, 1), bool)
+    fresh[0] = True
+    trainer.window(np.zeros((5, 1), np.float32), inputs, ids[:, None], fresh, np.ones((9, 1), bool))
+    wanted = {}
+    for name, value in p.items():
+        flat = np.zeros(value.size)
+        for i in range(value.size):
+            moved = []
+            for step in (1e-4, -1e-4):
+                other = {k: v.astype(float) for k, v in p.items()}
+                other[name].reshape(-1)[i] += step
+                moved.append(-plain_log_likelihood(shape, other, ids) / 9)
+            flat[i] = (moved[0] - moved[1]) / 2e-4
+        wanted[name] = flat.reshape(value.shape)
+    size = math.sqrt(sum((g**2).sum() for g in wanted.values()))
+    for name, want in wanted.items():
+        assert np.allclose(grads[name], want * min(1, 1 / size), atol=2e-4), name
+
+
+def test_lm_score_equals_recomputation(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "a", "cat", "dog", "sat", "ran", "of", "Zebra9", f"rare{rng.randrange(30)}"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [None, ""]
+    settings, held = lm_score.Settings(words=6, width=4, hidden=3, known=9, per_trainer=100, run=8), []
+    real = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a: held.append((a[1], real(*a))) or held[0][1])
+    learn = F.col("doc_id") % 3 != 0
+    got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), learn, settings=settings).collect()}
+    v, weights = held[0]
+    p = gru.unpack(settings.shape, weights)
+    counts = collections.Counter(w for i, t in enumerate(texts) if i % 3 for w in [*(t or "").lower().split(), lm_score.END])
+    place = {w: i for i, w in enumerate(v.words[:6])}
+    tail = collections.defaultdict(list)
+    for w, c in counts.items():
+        if w not in place:
+            tail[lm_score.tail_class(w)].append(c)
+    total, kinds = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        words = [*(t or "").lower().split(), lm_score.END]
+        base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in words)
+        ids = [place[w] if w in place else 6 + lm_score.tail_class(w) for w in words]
+        inside = sum(math.log10((counts[w] + 1) / (sum(tail[k]) + len(tail[k]) + 1)) for w in words if w not in place for k in [lm_score.tail_class(w)])
+        assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].n_known == sum(w in counts for w in words)
+        assert got[i].score == pytest.approx(plain_log_likelihood(settings.shape, p, ids) / math.log(10) + inside, rel=1e-4), i
+
+
 def test_language_model_learns_from_every_run_once(monkeypatch):
     learned = collections.Counter()
     monkeypatch.setattr(gru.Trainer, "train", lambda self, texts, firsts: learned.update(t.tobytes() for t in texts))
