@@ -20,7 +20,7 @@ WORD = r"[^\x09-\x0D ]+"
 COMPANIES = {"AAPL": "Apple Inc.", "AMZN": "Amazon.com Inc.", "INTC": "Intel Corporation", "MSFT": "Microsoft Corporation", "NVDA": "NVIDIA Corporation"}
 UNKNOWN = "Unknown"
 REPORT_TYPE = "10-Q"
-#: A number of up to three digits, or with thousands separators.
+# The number patterns of the table tests, a number of up to three digits or with thousands separators.
 NUMBER = r"\b\d{1,3}(?:,\d{3})*(?:\.\d+)?\b"
 PERCENT_NUMBER = r"\b\d{1,3}(?:,\d{3})*(?:\.\d+)?%?\b"
 #: ASCII punctuation without the hyphen.

@@ -24,4 +24,4 @@ class WhitespaceTokenizer:
 
     def count(self, c: Column | str) -> Column:
         n = word_count(c)
-        return F.when(n > 0, n + self.n_special).otherwise(F.lit(0))
+        return F.when(n > 0, n + self.n_special).otherwise(F.lit(0)) if self.n_special else n

@@ -2,23 +2,26 @@
 
 Three families: fixed windows of tokens, whole sentences packed up to a limit,
 and sections or paragraphs.  All stay in the JVM; the folds carry only counts
-and start positions, never texts.
+and start positions, never texts.  Every chunker counts and cuts by the tokenizer
+it is given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.text import WS, is_table, is_table_dense, let, strip, word_count
+from pathloom.functions.text import WS, is_table, is_table_dense, let, strip
 from pathloom.functions.tokenize import WhitespaceTokenizer
 
 SIZES = (256, 512, 1024)
 #: Share of a fixed window that the next one repeats, and of the size that a section chunk must reach.
 OVERLAP = 0.1
 METHODS = tuple(f"{family}_{size}" for family in ("fixed", "sentence_aware", "hybrid_modified") for size in SIZES)
+WHITESPACE = WhitespaceTokenizer()
 _MARK = "\x01"
 _CHUNK = "array<struct<text:string,heading:string,is_table:boolean>>"
 
@@ -29,7 +32,7 @@ def window_step(size: int, overlap: int | None = None) -> int:
     return max(1, size - (max(0, size - 1) if overlap >= size else overlap))
 
 
-def fixed_texts(text: Column, size: int, overlap: int | None = None, tokenizer: WhitespaceTokenizer = WhitespaceTokenizer()) -> Column:  # noqa: B008
+def fixed_texts(text: Column, size: int, overlap: int | None = None, tokenizer: WhitespaceTokenizer = WHITESPACE) -> Column:
     """Array of windows of ``size`` tokens; the last one is the first that reaches the end."""
     step = window_step(size, overlap)
 
@@ -46,8 +49,8 @@ def plain(texts: Column) -> Column:
     return F.transform(texts, lambda t: F.struct(strip(t).alias("text"), F.lit(None).cast("string").alias("heading"), is_table(t).alias("is_table")))
 
 
-def fixed(text: Column, size: int) -> Column:
-    return plain(fixed_texts(text, size))
+def fixed(text: Column, size: int, tokenizer: WhitespaceTokenizer = WHITESPACE) -> Column:
+    return plain(fixed_texts(text, size, tokenizer=tokenizer))
 
 
 def sentences(text: Column) -> Column:
@@ -56,19 +59,19 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, _MARK), strip), lambda s: s != "")
 
 
-def split_long(sentence: Column, limit: int) -> Column:
+def split_long(sentence: Column, limit: int, tokenizer: WhitespaceTokenizer = WHITESPACE) -> Column:
     """A sentence of too many words in pieces: at ever weaker marks, each only where a piece is still too long, then by fixed windows."""
     pieces = F.array(sentence)
     for mark in (";", ":", "—", r"\. ", r"\? ", "! "):
-        cut = lambda p, mark=mark: F.when(word_count(p) > limit, F.filter(F.transform(F.split(p, mark), strip), lambda x: x != "")).otherwise(F.array(p))
+        cut = lambda p, mark=mark: F.when(tokenizer.count(p) > limit, F.filter(F.transform(F.split(p, mark), strip), lambda x: x != "")).otherwise(F.array(p))
         pieces = F.flatten(F.transform(pieces, cut))
-    return F.flatten(F.transform(pieces, lambda p: F.when(word_count(p) > limit, fixed_texts(p, limit)).otherwise(F.array(p))))
+    return F.flatten(F.transform(pieces, lambda p: F.when(tokenizer.count(p) > limit, fixed_texts(p, limit, tokenizer=tokenizer)).otherwise(F.array(p))))
 
 
-def sentence_units(text: Column, limit: int) -> Column:
+def sentence_units(text: Column, limit: int, tokenizer: WhitespaceTokenizer = WHITESPACE, split: Callable[[Column], Column] = sentences) -> Column:
     """Array of (text, n, solo): sentences, and the pieces of long ones, which stand alone."""
-    unit = lambda t, solo: F.struct(t.alias("text"), word_count(t).alias("n"), F.lit(solo).alias("solo"))
-    return F.flatten(F.transform(sentences(text), lambda s: F.when(word_count(s) > limit, F.transform(split_long(s, limit), lambda p: unit(p, True))).otherwise(F.array(unit(s, False)))))
+    unit = lambda t, solo: F.struct(t.alias("text"), tokenizer.count(t).alias("n"), F.lit(solo).alias("solo"))
+    return F.flatten(F.transform(split(text), lambda s: F.when(tokenizer.count(s) > limit, F.transform(split_long(s, limit, tokenizer), lambda p: unit(p, True))).otherwise(F.array(unit(s, False)))))
 
 
 def packed(units: Column, limit: int) -> Column:
@@ -92,10 +95,10 @@ def packed(units: Column, limit: int) -> Column:
     return let(units, join)
 
 
-def sentence_aware(text: Column, size: int) -> Column:
-    """Sentences packed up to ``size`` words; pieces of longer sentences are chunks by themselves."""
+def sentence_aware(text: Column, size: int, tokenizer: WhitespaceTokenizer = WHITESPACE, split: Callable[[Column], Column] = sentences) -> Column:
+    """Sentences, as ``split`` finds them, packed up to ``size`` tokens; pieces of longer sentences are chunks by themselves."""
     none = F.array().cast("array<string>")
-    return plain(let(sentence_units(text, size), lambda units: F.when(F.size(units) > 0, packed(units, size)).otherwise(none)))
+    return plain(let(sentence_units(text, size, tokenizer, split), lambda units: F.when(F.size(units) > 0, packed(units, size)).otherwise(none)))
 
 
 #: A line that opens a section: Item or Note with a number, Part with a roman one, or a short line in title case or capitals without a final mark.
@@ -125,14 +128,14 @@ def _chunk(text: Column, heading: Column, table: Column) -> Column:
     return F.struct(text.alias("text"), heading.cast("string").alias("heading"), table.alias("is_table"))
 
 
-def paragraphs(text: Column, least: int, most: int) -> Column:
+def paragraphs(text: Column, least: int, most: int, tokenizer: WhitespaceTokenizer = WHITESPACE) -> Column:
     """Chunks of consecutive paragraphs with at most ``most`` words in sum and at least ``least`` together.
 
     A paragraph that is too long is cut into windows; a short one joins a chunk
     that has begun and fits, else it is lost and the next chunk begins anew.
     """
     paras = F.filter(F.transform(F.split(text, r"\n[\x09-\x0D ]*\n"), strip), lambda p: p != "")
-    units = F.transform(paras, lambda p: F.struct(p.alias("text"), word_count(p).alias("n")))
+    units = F.transform(paras, lambda p: F.struct(p.alias("text"), tokenizer.count(p).alias("n")))
     span = "struct<a:int,e:int>"
     empty = F.array().cast(f"array<{span}>")
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("a"), empty.alias("out"), F.lit(1).alias("i"))
@@ -156,11 +159,11 @@ def paragraphs(text: Column, least: int, most: int) -> Column:
 
     join = lambda u: F.transform(F.aggregate(u, start, step, close), lambda s: F.array_join(F.slice(u["text"], s["a"], s["e"] - s["a"]), "\n\n"))
     texts = let(units, join)
-    cut = F.flatten(F.transform(texts, lambda t: F.when(word_count(t) > most, fixed_texts(t, most)).otherwise(F.array(t))))
-    return F.transform(F.filter(cut, lambda t: word_count(t) >= least), lambda t: _chunk(t, F.lit(None), is_table_dense(t)))
+    cut = F.flatten(F.transform(texts, lambda t: F.when(tokenizer.count(t) > most, fixed_texts(t, most, tokenizer=tokenizer)).otherwise(F.array(t))))
+    return F.transform(F.filter(cut, lambda t: tokenizer.count(t) >= least), lambda t: _chunk(t, F.lit(None), is_table_dense(t)))
 
 
-def hybrid(text: Column, most: int, least: int | None = None) -> Column:
+def hybrid(text: Column, most: int, least: int | None = None, tokenizer: WhitespaceTokenizer = WHITESPACE) -> Column:
     """Sections whole where they fit, in windows where they are too long, and paragraphs where there is no heading."""
     least = int(most * OVERLAP) if least is None else least
     if least >= most:
@@ -169,13 +172,13 @@ def hybrid(text: Column, most: int, least: int | None = None) -> Column:
     def of(s: Column) -> Column:
         heading, body = s["heading"], s["body"]
         whole = F.concat_ws("\n", heading, F.nullif(body, F.lit("")))
-        windows = F.filter(F.transform(fixed_texts(body, most), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda w: word_count(w["t"]) >= least)
+        windows = F.filter(F.transform(fixed_texts(body, most, tokenizer=tokenizer), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda w: tokenizer.count(w["t"]) >= least)
         cut = F.transform(windows, lambda w: _chunk(F.when(w["i"] == 0, F.concat(heading, F.lit("\n\n"), w["t"])).otherwise(w["t"]), heading, is_table_dense(w["t"])))
-        loose = F.when(word_count(body) >= least, paragraphs(body, least, most)).otherwise(F.array().cast(_CHUNK))
+        loose = F.when(tokenizer.count(body) >= least, paragraphs(body, least, most, tokenizer)).otherwise(F.array().cast(_CHUNK))
         one = F.array(_chunk(whole, heading, is_table_dense(whole)))
-        return F.when(heading.isNull(), loose).when(word_count(whole) > most, cut).when(word_count(whole) >= least, one).otherwise(F.array().cast(_CHUNK))
+        return F.when(heading.isNull(), loose).when(tokenizer.count(whole) > most, cut).when(tokenizer.count(whole) >= least, one).otherwise(F.array().cast(_CHUNK))
 
-    whole_text = paragraphs(F.coalesce(text, F.lit("")), least, most)
+    whole_text = paragraphs(F.coalesce(text, F.lit("")), least, most, tokenizer)
     return let(sections(text), lambda found: F.when(F.size(found) == 1, whole_text).otherwise(F.flatten(F.transform(found, of))))
 
 
@@ -184,18 +187,23 @@ def chunker(method: str):
     return {"fixed": fixed, "sentence_aware": sentence_aware, "hybrid_modified": hybrid}[family], int(size)
 
 
-def chunk(docs: DataFrame, method: str, name_col: str = "filename", text_col: str = "text") -> DataFrame:
+def chunk(docs: DataFrame, method: str, name_col: str = "filename", text_col: str = "text", tokenizer: WhitespaceTokenizer = WHITESPACE) -> DataFrame:
     """One row a chunk: filename, method, chunk_index, chunk_id, text, heading, is_table, token_count.
 
     ``chunk_index`` is the place before blank chunks are dropped, so it may have
     gaps.  Empty and null texts give no rows.
     """
     make, size = chunker(method)
-    found = docs.where(F.length(text_col) > 0).select(F.col(name_col).alias("filename"), F.posexplode(make(F.col(text_col), size)).alias("chunk_index", "c"))
-    rows = found.select("filename", F.lit(method).alias("method"), "chunk_index", F.concat_ws("_", "filename", F.lit(method), "chunk_index").alias("chunk_id"), strip(F.col("c.text")).alias("text"), "c.heading", "c.is_table")
-    return rows.where(F.col("text") != "").withColumn("token_count", word_count("text"))
+    made = fixed_texts(F.col(text_col), size, tokenizer=tokenizer) if make is fixed else make(F.col(text_col), size, tokenizer=tokenizer)
+    found = docs.where(F.length(text_col) > 0).select(F.col(name_col).alias("filename"), F.posexplode(made).alias("chunk_index", "c"))
+    # windows are plain texts, whose heading and table test come after the explode, so a query that asks for neither pays for neither
+    text, heading, table = (F.col("c"), F.lit(None).cast("string"), is_table(F.col("c"))) if make is fixed else (F.col("c.text"), F.col("c.heading"), F.col("c.is_table"))
+    rows = found.select(
+        "filename", F.lit(method).alias("method"), "chunk_index", F.concat_ws("_", "filename", F.lit(method), "chunk_index").alias("chunk_id"), strip(text).alias("text"), heading.alias("heading"), table.alias("is_table")
+    )
+    return rows.where(F.col("text") != "").withColumn("token_count", tokenizer.count("text"))
 
 
-def chunk_all(docs: DataFrame, methods: tuple[str, ...] = METHODS, name_col: str = "filename", text_col: str = "text") -> DataFrame:
+def chunk_all(docs: DataFrame, methods: tuple[str, ...] = METHODS, name_col: str = "filename", text_col: str = "text", tokenizer: WhitespaceTokenizer = WHITESPACE) -> DataFrame:
     """The chunks of all methods, one below the other."""
-    return reduce(DataFrame.unionByName, [chunk(docs, m, name_col, text_col) for m in methods])
+    return reduce(DataFrame.unionByName, [chunk(docs, m, name_col, text_col, tokenizer) for m in methods])

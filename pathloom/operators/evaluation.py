@@ -9,6 +9,7 @@ from pathloom.functions import metrics as M
 from pathloom.functions.text import word_count, words
 from pathloom.operators.chunking import sentences
 
+# What is answered and noted where no context was found.
 NO_PATH = ("Insufficient context found via graph path retrieval.", "No context retrieved via Path RAG")
 NO_NAIVE = ("No context found.", "No context retrieved")
 METRICS = ("exact_match", "f1", "rouge1", "rouge2", "rouge_l", "semantic_sim", "bleu")

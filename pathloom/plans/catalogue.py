@@ -204,11 +204,56 @@ def _hybrid(spark, sf, size, least=None):
     return rows.select("chunk_id", "chunk_index", "c.text", "c.heading", "c.is_table")
 
 
+def s_windows(t: str, most: int) -> str:
+    return f"(CASE WHEN {s_count(t)} > {most} THEN {s_fixed(t, most)} ELSE [{t}] END)"
+
+
+def s_packed_paragraphs(rows: str, keys: str, least: int, most: int) -> str:
+    """CTEs p1 to p3 over ``rows`` (keys, text): p3 has the chunks of each text's paragraphs as the list ``chunks``."""
+    unit = "struct_pack(n := {n}, a := {a}, i := {i}, out := {out})"
+    none = "CAST([] AS STRUCT(a BIGINT, e BIGINT)[])"
+    zero, after = "CAST(0 AS BIGINT)", "acc.i + 1"
+    paras = rf"list_filter(list_transform(string_split(regexp_replace(text, '\n[\x09-\x0D ]*\n', chr(2), 'g'), chr(2)), lambda p: {s_strip('p')}), lambda p: p <> '')"
+    close = "CASE WHEN acc.a > 0 THEN list_append(acc.out, struct_pack(a := acc.a, e := acc.i)) ELSE acc.out END"
+    step = f"""CASE WHEN u.n > {most} THEN {unit.format(n=zero, a=zero, i=after, out=f"list_append({close}, struct_pack(a := acc.i, e := acc.i + 1))")}
+      WHEN acc.n + u.n <= {most} AND (u.n >= {least} OR acc.n > 0) THEN {unit.format(n='acc.n + u.n', a='CASE WHEN acc.a > 0 THEN acc.a ELSE acc.i END', i=after, out='acc.out')}
+      WHEN acc.n + u.n <= {most} THEN {unit.format(n='acc.n', a='acc.a', i=after, out='acc.out')}
+      WHEN u.n >= {least} THEN {unit.format(n='u.n', a='acc.i', i=after, out=close)}
+      ELSE {unit.format(n=zero, a=zero, i=after, out=close)} END"""
+    units = f"list_transform(paras, lambda p: {unit.format(n=s_count('p'), a=zero, i=zero, out=none)})"
+    return f"""p1 AS (SELECT {keys}, {paras} AS paras FROM {rows}),
+p2 AS (SELECT {keys}, paras, list_reduce({units}, lambda acc, u: {step}, {unit.format(n=zero, a=zero, i='CAST(1 AS BIGINT)', out=none)}) AS acc FROM p1),
+p3 AS (SELECT {keys}, list_filter(flatten(list_transform(list_transform({close}, lambda z: array_to_string(paras[z.a : z.e - 1], chr(10) || chr(10))), lambda t: {s_windows('t', most)})), lambda t: {s_count('t')} >= {least}) AS chunks FROM p2)"""
+
+
+_IS_HEADING = rf"""(regexp_matches(line, '{chunking.HEADING.replace("'", "''")}') AND (regexp_matches(line, '(?i)^(item|note|part)[ \t]') OR NOT regexp_matches(line, '[.!?;,:][ \t]*$')))"""
+
+
+def _hybrid_sql(most: int, least: int) -> str:
+    windows = f"list_filter(list_transform({s_fixed('body', most)}, lambda t, i: struct_pack(first := i = 1, t := t)), lambda w: {s_count('w.t')} >= {least})"
+    return (
+        with_views("filing_texts")
+        + f""", l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM filing_texts),
+g AS (SELECT chunk_id, line, i, {_IS_HEADING} AS heads, CAST(sum(CASE WHEN {_IS_HEADING} THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id ORDER BY i) AS BIGINT) AS s FROM l),
+s AS (SELECT chunk_id, s, {s_strip('max(CASE WHEN heads THEN line END)')} AS heading, {s_strip("coalesce(string_agg(CASE WHEN NOT heads THEN line END, chr(10) ORDER BY i), '')")} AS body FROM g GROUP BY chunk_id, s),
+k AS (SELECT chunk_id, max(s) AS n FROM s GROUP BY chunk_id),
+plain AS (SELECT chunk_id, CAST(0 AS BIGINT) AS s, text FROM filing_texts JOIN k USING (chunk_id) WHERE n = 0
+          UNION ALL SELECT chunk_id, s, body AS text FROM s JOIN k USING (chunk_id) WHERE n > 0 AND heading IS NULL AND {s_count('body')} >= {least}),
+{s_packed_paragraphs('plain', 'chunk_id, s', least, most)},
+h AS (SELECT chunk_id, s, heading, body, CASE WHEN body <> '' THEN heading || chr(10) || body ELSE heading END AS whole FROM s WHERE heading IS NOT NULL),
+c AS (SELECT chunk_id, s, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS j, CAST(NULL AS STRING) AS heading, NULL AS tested FROM p3
+      UNION ALL SELECT chunk_id, s, whole, 1, heading, NULL FROM h WHERE {s_count('whole')} BETWEEN {least} AND {most}
+      UNION ALL SELECT chunk_id, s, CASE WHEN w.first THEN heading || chr(10) || chr(10) || w.t ELSE w.t END, j, heading, w.t
+                FROM (SELECT chunk_id, s, heading, unnest({windows}) AS w, generate_subscripts({windows}, 1) AS j FROM h WHERE {s_count('whole')} > {most}) x)
+SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY s, j) - 1 AS chunk_index, text, heading, {s_table_dense('coalesce(tested, text)')} AS is_table FROM c"""
+    )
+
+
 for _size, _least in ((24, 5), (256, None), (512, None), (1024, None)):
-    query(f"chunk_hybrid_{_size}")(lambda spark, sf, n=_size, k=_least: _hybrid(spark, sf, n, k))
+    query(f"chunk_hybrid_{_size}", _hybrid_sql(_size, int(_size * chunking.OVERLAP) if _least is None else _least))(lambda spark, sf, n=_size, k=_least: _hybrid(spark, sf, n, k))
 
 
-@query("para_pack_256")
+@query("para_pack_256", f"WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {s_packed_paragraphs('d', 'doc_id', 25, 256)} SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_index, md5(unnest(chunks)) AS text_md5 FROM p3")
 def _(spark, sf):
     rows = view(spark, sf, "documents").select("doc_id", F.posexplode(chunking.paragraphs(F.col("text"), 25, 256)).alias("chunk_index", "c"))
     return rows.select("doc_id", "chunk_index", F.md5(F.col("c.text").cast("binary")).alias("text_md5"))
@@ -604,7 +649,12 @@ for _name, _make in _COLUMNS.items():
     _value = _VALUES[{"token_f1": "f1", "bleu4": "bleu"}.get(_name, _name)]
     query(_name, _AV + f"SELECT qid, {_value} AS {_name} FROM common")(lambda spark, sf, n=_name, f=_make: view(spark, sf, "answers").select("qid", f(F.col("generated"), F.col("truth")).alias(n)))
 
-@query("rouge_l")
+#: A row of the table of common subsequences from the one before; a place takes the best of all up to it.
+_LCS_ROW = "list_transform(range(1, len(h) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(p[k], coalesce(p[k - 1], 0) + h[k]))))"
+_LCS = f"coalesce(list_reduce(list_transform(ra, lambda x: list_transform(rb, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END)), lambda p, h: {_LCS_ROW}, list_transform(rb, lambda y: 0))[-1], 0)"
+
+
+@query("rouge_l", with_views("answers") + f", t AS (SELECT qid, {_R('generated')} AS ra, {_R('truth')} AS rb FROM answers), m AS (SELECT *, CASE WHEN len(ra) = 0 OR len(rb) = 0 THEN 0 ELSE {_LCS} END AS c FROM t) SELECT qid, {s_f('c', 'len(ra)', 'len(rb)')} AS rouge_l FROM m")
 def _(spark, sf):
     return view(spark, sf, "answers").select("qid", M.rouge_l(F.col("generated"), F.col("truth")).alias("rouge_l"))
 

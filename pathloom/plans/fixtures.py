@@ -89,11 +89,18 @@ def with_views(*names: str) -> str:
     return "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in wanted) + " "
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files give fewer partitions than there are cores, dealt out to all of them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or a derived view as a DataFrame, bound to the tables of ``sf_dir``."""
     ship(spark)
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name == "documents" else table
     for other in (*TABLES, *VIEWS):
         if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", VIEWS[name]):
             view(spark, sf_dir, other).createOrReplaceTempView(other)

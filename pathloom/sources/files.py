@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.evaluation import averages
 
+# The columns that a question table must have.
 REQUIRED = ("Question", "Answer", "Source Docs", "Question Type", "Source Chunk Type")
 Extractor = Callable[[bytes], str | None]
 

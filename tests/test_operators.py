@@ -1,6 +1,9 @@
+import http.server
+import json
 import math
 import random
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,9 @@ from pyspark.sql import functions as F
 from pathloom.engine import Config, Engine
 from pathloom.functions import metrics as M
 from pathloom.functions import text as T
-from pathloom.operators import chunking, graph, retrieval
+from pathloom.functions.tokenize import WhitespaceTokenizer
+from pathloom.operators import chunking, embedding, graph, retrieval
+from pathloom.operators.generation import HttpGenerator, answer_with
 from pathloom.sources import files
 
 WORDS = [f"w{n}" for n in range(50)]
@@ -50,51 +55,31 @@ def test_overlap_guard():
     assert chunking.window_step(1, 5) == 1
 
 
-def brute_paragraphs(text, least, most):
-    count = lambda t: len(t.split())
-    step, out, held, size = chunking.window_step(most), [], [], 0
-
-    def close():
-        if held and count("\n\n".join(held)) >= least:
-            out.append("\n\n".join(held))
-
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
-        n = count(p)
-        if not n:
-            continue
-        if n > most:
-            close()
-            held, size, words, at = [], 0, p.split(), 0
-            while True:
-                piece = words[at : at + most]
-                if len(piece) >= least:
-                    out.append(" ".join(piece))
-                if at + most >= len(words):
-                    break
-                at += step
-        elif size + n <= most:
-            if n >= least or size:
-                held.append(p)
-                size += n
-        else:
-            close()
-            held, size = ([p], n) if n >= least else ([], 0)
-    close()
-    return out
-
-
-def test_paragraph_packing_equals_brute_force(spark):
-    rng = random.Random(5)
-    texts = ["\n\n".join(" ".join(rng.choices(WORDS, k=rng.choice([1, 2, 3, 6, 9, 14, 31]))) for _ in range(rng.randint(0, 12))) for _ in range(60)]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", chunking.paragraphs(F.col("text"), 3, 12).alias("c")).collect()
-    for r in rows:
-        assert [c.text for c in r.c] == brute_paragraphs(texts[r.i], 3, 12)
+def test_paragraph_packing(spark):
+    """At least 3 and at most 12 words; a paragraph is named by its letter and has words a0, a1, ..."""
+    para = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    span = lambda name, start, end: " ".join(f"{name}{k}" for k in range(start, end))
+    cases = [
+        ([], []),
+        ([("a", 2)], []),  # too short, and nothing to join
+        ([("a", 1), ("b", 2), ("c", 6), ("d", 9)], [["c"], ["d"]]),  # short ones before the first are lost; c and d do not fit together
+        ([("a", 6), ("b", 2), ("c", 3)], [["a", "b", "c"]]),  # a short one joins what has begun
+        ([("a", 9), ("b", 2), ("c", 2), ("d", 4)], [["a", "b"], ["d"]]),  # c does not fit and is too short to begin
+        ([("a", 12), ("b", 12)], [["a"], ["b"]]),
+        ([("a", 5), ("b", 31), ("c", 4)], [["a"], ("b", 0, 12), ("b", 11, 23), ("b", 22, 31), ["c"]]),  # windows move by 11
+        ([("a", 13)], [("a", 0, 12)]),  # the second window has 2 words only
+    ]
+    for given, wanted in cases:
+        size = dict(given)
+        text = "\n \n\n".join(para(*p) for p in given)
+        got = one(spark, text, chunking.paragraphs(F.col("text"), 3, 12))
+        assert [c.text for c in got] == [span(*w) if isinstance(w, tuple) else "\n\n".join(para(n, size[n]) for n in w) for w in wanted], given
 
 
 def test_hybrid_sections(spark):
     text = "Item 1. Business\n" + "a " * 6 + "\nRisk Factors\n" + " ".join(f"b{n}" for n in range(25)) + "\nItem 2. Tiny\nx"
     got = one(spark, text, chunking.hybrid(F.col("text"), 10, 4))
-    assert [c.heading for c in got] == ["Item 1. Business"] + ["Risk Factors"] * 3
+    assert [c.heading for c in got] == ["Item 1. Business"] + ["Risk Factors"] * 3 + ["Item 2. Tiny"]  # whose 4 words reach the least size
     assert got[1].text.startswith("Risk Factors\n\nb0 ")
     assert got[2].text == " ".join(f"b{n}" for n in range(9, 19))
     with pytest.raises(ValueError):
@@ -159,6 +144,84 @@ def test_upserts_are_idempotent(spark):
     assert sorted(map(tuple, graph.merge_into(old, new, ["k"], overwrite=False).collect())) == [(1, "a"), (2, "b"), (3, "d")]
 
 
+def test_chunkers_count_by_their_tokenizer(spark):
+    docs = spark.createDataFrame([("f", " ".join(f"w{n}." for n in range(300)))], "filename string, text string")
+    plain, special = (chunking.chunk(docs, m, tokenizer=t).agg(F.max("token_count"), F.count("text")).first() for m in ("sentence_aware_256",) for t in (WhitespaceTokenizer(), WhitespaceTokenizer(n_special=2)))
+    assert tuple(plain) == (256, 2) and special[0] <= 258 and special[1] == 4  # each sentence counts two more, so 85 fit
+
+
+def test_batch_embedder(spark):
+    texts = [("ab",), ("",), (None,), (" ",), ("abcd",)]
+    df = spark.createDataFrame(texts, "text string")
+
+    def load():
+        return lambda batch: [[len(t), 3.0] for t in batch]
+
+    got = [r.embedding for r in embedding.embed(df, embedder=embedding.BatchEmbedder(load, 2, batch=1, unit=False)).collect()]
+    assert got == [[2, 3], [0, 0], [0, 0], [0, 0], [4, 3]]
+    unit = embedding.embed(df, embedder=embedding.BatchEmbedder(load, 2), prefix="xx").first().embedding
+    assert unit == pytest.approx([0.8, 0.6])
+    with pytest.raises(Exception, match="dimensions"):
+        embedding.embed(df, embedder=embedding.BatchEmbedder(load, 3)).collect()
+    assert embedding.dimension_errors(embedding.embed(df), 64).count() == 0
+
+
+@pytest.fixture
+def model_server():
+    """A stand-in for a language model: answers, fails once and then answers, refuses, or gives no text."""
+    failed = set()
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            prompt = asked["prompt"]
+            code = 400 if "refuse" in prompt or ("JSON" in prompt and "secret" in prompt) else 503 if "flaky" in prompt and prompt not in failed else 200
+            failed.add(prompt)
+            text = '```json\n{"entities":[{"label":"company","name":"Acme"}],"relationships":[]}\n```' if "JSON" in prompt else f" {asked['options']['num_predict']} "
+            reply = json.dumps({} if "empty" in prompt else {"response": text, "total_duration": 5_000_000, "eval_count": 7}).encode()
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(reply if code == 200 else b"no")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+
+
+def test_http_generator(spark, model_server):
+    ask = HttpGenerator(model_server, "m", max_tokens=9, timeout=5, retries=1, pause=0.01)
+    df = spark.createDataFrame([("plain",), ("flaky",), ("refuse",), ("empty",), (None,)], "prompt string")
+    got = [r.reply for r in df.select(ask(F.col("prompt")).alias("reply")).collect()]
+    assert [r.text for r in got] == ["9", "9", None, None, None]
+    assert [r.error for r in got] == [None, None, "HTTP 400", "ValueError: the reply holds no text", None]
+    assert got[0].duration_ms == 5 and got[0].completion_tokens == 7 and got[0].prompt_tokens is None and got[2].duration_ms > 0
+    with pytest.raises(Exception, match="HTTP 400"):
+        df.select(ask(F.col("prompt"), on_error="raise")).collect()
+    gone = HttpGenerator("http://127.0.0.1:9/", timeout=1, retries=0)
+    assert "Error" in df.limit(1).select(gone(F.col("prompt")).alias("r")).first().r.error
+    rows = spark.createDataFrame([(1, "c", "q"), (2, "", "q"), (3, "refuse", "q")], "qid int, context string, question string")
+    done = {r.qid: r for r in answer_with(ask)(rows, "naive").collect()}
+    assert (done[1].generated, done[1].error, done[1].duration_ms) == ("9", None, 5) and done[2].error == "No context retrieved" and done[3].error == "HTTP 400"
+
+
+def test_engine_enriches_by_a_model_and_stores(spark, tmp_path, model_server):
+    engine = Engine(spark, Config(methods=("fixed_256", "fixed_512"), answer=answer_with(HttpGenerator(model_server, timeout=5, retries=0)), query_prefix="Find: "))
+    engine.ingest(spark.createDataFrame([("a/2023 Q1 AAPL.pdf", "old"), ("b/2023 Q1 AAPL.pdf", "Acme rose."), ("c/x.pdf", "A secret report.")], "path string, text string"))
+    assert {r.text for r in engine.tables["chunks"].collect()} == {"Acme rose.", "A secret report."}  # one document a name, the last path
+    engine.ingest(spark.createDataFrame([("c/y.pdf", "Acme fell.")], "path string, text string"))
+    assert engine.tables["documents"].count() == 3 and engine.tables["chunks"].count() == 6
+    engine.enrich_with(HttpGenerator(model_server, timeout=5, retries=0), str(tmp_path / "replies"))
+    engine.store(str(tmp_path / "graph"))
+    assert [(r.label, r.key) for r in engine.tables["entities"].collect()] == [("Company", "Acme")]
+    assert {(r.chunk_id[0], r.error) for r in engine.tables["failures"].collect()} == {("x", "HTTP 400")} and engine.tables["mentions"].count() == 4
+    rows = engine.evaluate(spark.createDataFrame([(1, "Who rose?", "9")], "qid long, question string, truth string"), "path", timed=True).collect()
+    assert len(rows) == 2 and all(0 < r.retrieval_s <= r.total_s and r.duration_ms == 5 for r in rows)
+
+
 def test_engine_from_files_to_answers(spark, tmp_path):
     for n, ticker in enumerate(("AAPL", "MSFT")):
         (tmp_path / f"2023 Q{n + 1} {ticker}.txt").write_text(f"In Q{n + 1} 2023, Apple reported net sales of $5.1 in NATION_{n}. The harbour number {n} opened early. Nothing else happened there.")
