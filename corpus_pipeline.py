@@ -7,17 +7,37 @@ writes it as Parquet in the shared folder and rereads it as the next one's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from pathloom.llm.common import fold, keep, table
+from pathloom.llm.common import fold, keep, release, table
 from pathloom.llm.encoding import public_vocabulary
 
+#: Row numbers up to this many (16 bytes each, with their positions) are broadcast; beyond it rows are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own: a repeated or null doc_id must not join with another row's decision."""
-    return keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """The rows with a number of their own: a repeated or null doc_id must not join with another row's decision.
+
+    Rows of Parquet files are known by file and place in it, the same in every
+    scan, whatever the splits, so nothing is copied.  Other tables are written
+    down with their numbers first.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    names = keep(placed.select("__file").distinct().withColumn("__n", F.row_number().over(Window.orderBy("__file"))))  # one row a file
+    return placed.join(F.broadcast(names), "__file").withColumn("__row", F.col("__n").cast("long") * (1 << 36) + F.col("__at")).select(*docs.columns, "__row")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A kept table to join rows with, broadcast if it is small enough."""
+    df = keep(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs.select("doc_id", "text"), marks, fold("doc_id", 5) != 0)
     rejected = toxicity.score(rows.select(F.col("__row").alias("doc_id"), "text"), model).where(F.col("predicted") == 1).select(F.col("doc_id").alias("__row"))
-    return rows.join(rejected, "__row", "left_anti").select(*docs.columns)
+    return rows.join(_few(rejected), "__row", "left_anti").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +54,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("id"), "text")
     dropped = exact_dedup.exact_dedup(named, id_col="id").where(~F.col("kept")).select("doc_id.__row")
-    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
+    return rows.join(_few(dropped), "__row", "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) one row stays."""
     rows = _numbered(docs)
     dropped = near_dedup.near_dedup(rows, id_col="__row").where(~F.col("kept")).select(F.col("doc_id").alias("__row"))
-    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
+    return rows.join(_few(dropped), "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     mixed = mixing.mix(rows, id_col="__row", key_col="doc_id")
     uses = mixed.select(F.col("doc_id").alias("__row"), F.explode(F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(F.transform(F.filter("uses", lambda u: 2 * u["words"] >= F.col("size")), lambda u: u["position"]))).alias("__position"))
-    ordered = rows.join(uses, "__row").repartitionByRange("__position", "__row").sortWithinPartitions("__position", "__row")
+    ordered = rows.join(_few(uses), "__row").repartitionByRange("__position", "__row").sortWithinPartitions("__position", "__row")
     return ordered.select(*docs.columns)
 
 
@@ -78,7 +98,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return docs
