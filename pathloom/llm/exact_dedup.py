@@ -10,8 +10,8 @@
 3. One pass verifies them: exact count and winner of each, by map-side partial
    aggregation.  The verified winners are broadcast (at most ``counters + 1``
    rows) and resolve their rows where they are, without a shuffle.
-4. The remaining digests have small groups; an ordinary shuffle by digest
-   resolves them.
+4. The remaining digests have small groups; they are aggregated and joined by
+   ordinary shuffles on the digest.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import BLANKS, keep, ship, text_of
@@ -82,8 +82,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     size = F.count(F.lit(1))
     heavy = F.broadcast(heavy_digests(rows, counters))
     winners = keep(rows.join(heavy, "digest", "left_semi").groupBy("digest").agg(size.alias("group_size"), F.min(order).alias("first")))
-    by_digest = Window.partitionBy("digest")
-    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").withColumns({"group_size": size.over(by_digest), "first": F.min(order).over(by_digest)})
+    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # groups are combined where they lie and kept, so that a task can hold a part of the rows of a group just below the threshold
+    groups = keep(light.groupBy("digest").agg(size.alias("group_size"), F.min(order).alias("first")))
+    light = light.join(groups, "digest")
     both = rows.join(F.broadcast(winners), "digest").select(*light.columns).union(light)
     return both.select(
         "doc_id",
