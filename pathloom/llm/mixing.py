@@ -16,6 +16,7 @@ only that cell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,15 +45,14 @@ def inverse_demand(share: Column, knots: Sequence[tuple[float, float]]) -> Colum
     return out
 
 
-def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str, cell_digits: int) -> DataFrame:
-    """doc_id, source, size (words) and the key that fixes the order inside a source, with its cell."""
+def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str) -> DataFrame:
+    """doc_id, source, size (words) and the key that fixes the order inside a source."""
     key = F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary"))
     return df.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
         key.alias("key"),
-        F.substring(key, 1, cell_digits).alias("cell"),
     )
 
 
@@ -101,7 +101,7 @@ def mix(
     weights: Sequence[int] = (1, 2, 3),
     cap: int = 3,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
-    cell_digits: int = 3,
+    cell_rows: int = 50_000,
     key_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, uses.
@@ -119,7 +119,10 @@ def mix(
     the order.  Other columns of the input are not looked at.  An empty table
     gives an empty result.  Reruns give the same rows.
     """
-    rows = keep(sizes(df, id_col, text_col, source_col, key_col or id_col, cell_digits))
+    rows = keep(sizes(df, id_col, text_col, source_col, key_col or id_col))
+    # as many cells a source as leave some ``cell_rows`` in each even if all rows are of one; the result does not depend on them
+    digits = max(3, math.ceil(math.log(max(1, rows.count() / cell_rows), 16)))
+    rows = rows.withColumn("cell", F.substring("key", 1, digits))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     goal = targets(cells, weights, cap)
@@ -170,12 +173,14 @@ f AS (SELECT *, 3 * source_size AS most,
       FROM s),
 o AS (SELECT min(n) AS n FROM f WHERE most * weight_rest > rest * w),
 g AS (SELECT f.*, p.n AS open_n, p.rest AS open_rest, p.weight_rest AS open_weight FROM f LEFT JOIN f p ON p.n = (SELECT n FROM o)),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, w,
         CASE WHEN open_n IS NULL OR n < open_n THEN CAST(most AS DOUBLE) ELSE CAST(open_rest * w AS DOUBLE) / open_weight END AS target,
         CASE WHEN open_n IS NULL OR n < open_n THEN most ELSE (open_rest * w) // open_weight END AS take
       FROM g),
 a AS (SELECT doc_id, source, size, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at FROM d)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(least(take - start_at, size), 0) + greatest(least(take - source_size - start_at, size), 0) + greatest(least(take - 2 * source_size - start_at, size), 0) AS BIGINT) AS taken
-FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source
+       CAST(greatest(least(take - start_at, size), 0) + greatest(least(take - source_size - start_at, size), 0) + greatest(least(take - 2 * source_size - start_at, size), 0) AS BIGINT) AS taken,
+       CASE WHEN size > 0 THEN CAST(take > start_at AS INT) + CAST(take > source_size + start_at AS INT) + CAST(take > 2 * source_size + start_at AS INT) ELSE 0 END AS passes,
+       CASE WHEN size > 0 AND take > start_at THEN round(least(2 * (start_at / take) / (g + sqrt(g * g + 2 * slope * (start_at / take))), 1.0), 6) END AS position
+FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source JOIN (VALUES (1, 1.5::DOUBLE, -1.0::DOUBLE), (2, 1.0, 0.0), (3, 0.5, 1.0)) k(w, g, slope) USING (w)
 """
