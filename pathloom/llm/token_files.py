@@ -64,7 +64,8 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: s
     """Encode every whole text, append ``end_id``, and write all ids in ascending id order; returns the table of shards.
 
     A null text counts as empty and gives the end id alone.  Null ids sort
-    first; rows with the same id follow each other in the order of their texts.
+    first; rows with the same id follow each other in the order of a hash of
+    their texts, so many of them are no hot range.
     A text longer than a shard is one shard of its own size.
     Strings of special tokens in a text become those tokens, as the library does
     by itself, or with ``special_as_text`` remain ordinary text.  Other columns of
@@ -72,7 +73,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: s
     """
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
     return keep(rows.mapInArrow(_writer(vocabulary, end_id, shard_ids, block, special_as_text), SHARDS))
 
 
