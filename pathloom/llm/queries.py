@@ -30,7 +30,8 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    used = F.col("taken") > 0
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("uses").alias("passes"), F.when(used, F.round("position", 6)).alias("position"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +74,6 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
 }

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pathloom.llm import components, exact_dedup, gru, html_text, labelled_pages, lm_score, mixing, near_dedup, packing, pii, queries, simple8b, token_files, topk, toxicity
+from pathloom.llm import common, components, exact_dedup, gru, html_text, labelled_pages, lm_score, mixing, near_dedup, packing, pii, queries, simple8b, token_files, topk, toxicity
 from pathloom.llm.common import fold
 from pathloom.llm.encoding import encoder, public_vocabulary
 from tests.conftest import SF
@@ -78,6 +78,38 @@ def test_near_dedup_equals_brute_force(spark, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_in_small_cells_equals_brute_force(spark):
+    """A chain of near copies: neighbours are linked, most pairs are not, and buckets are cut into cells of 3."""
+    rng = random.Random(6)
+    words, texts = [f"w{n}" for n in range(120)], []
+    for _ in range(60):
+        texts.append(" ".join(words))
+        words[rng.randrange(len(words))] = f"x{rng.random()}"
+    texts += [" ".join([*w[:40], *(f"{i}y{k}" for k in range(18))]) for i, w in enumerate([words] * 25)]  # alike, but not enough
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (500, "some other text of its own"), (500, texts[40])]  # repeated rows; one id with two texts
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85, nearest=1, cell=3).collect()
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    edges = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    label = components.union_find(iter(edges))
+    want = collections.Counter((i, label.get(i, i)) for i, _ in rows[: len(texts) + 2]) + collections.Counter([(500, 500), (500, label.get(40, 40))])
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == want
+    assert len({label.get(i, i) for i in range(60)}) < 10 < len({label.get(i, i) for i in range(len(texts))})
+
+
+def test_long_sets_are_signed_in_slices(monkeypatch):
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 5, 700, 30)]
+    whole = near_dedup.super_minhash(sets, 60)
+    monkeypatch.setattr(near_dedup, "SLICE", 64)
+    assert (near_dedup.signatures_of(sets, 60) == whole).all()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_dir(session)
+
+
 def test_near_dedup_bands_miss_no_more_than_25_of_5():
     defaults = {k: p.default for k, p in inspect.signature(near_dedup.near_dedup).parameters.items()}
     missed = lambda j, bands, rows: (1 - j**rows) ** bands
@@ -178,6 +210,22 @@ def test_token_files(docs, none):
     assert token_files.read_token_files(token_files.write_token_files(none, path)).count() == 0
 
 
+def test_token_files_are_exported_and_take_equal_ids(spark, tmp_path):
+    path = public_vocabulary("byte_bpe_50k.json")
+    rows = [(None, "a b"), (None, "c"), (None, "c"), (5, "x"), (5, None), (2, "y z")]
+    shards = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, shard_ids=3)
+    read = token_files.read_token_files(shards).orderBy("start").collect()
+    assert [r.doc_id for r in read] == [None, None, None, 2, 5, 5]
+    plain = Tokenizer.from_file(path)
+    want = [(i, tuple([*plain.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in rows]
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4"))) for r in read) == collections.Counter(want)
+    token_files.export(shards, f"file://{tmp_path}/out")
+    files = sorted((tmp_path / "out").iterdir())
+    found = [simple8b.read_shard(f.read_bytes()) for f in files]
+    assert len(files) == shards.count() and [k for keys, *_ in found for k in keys] == [None, None, None, 2, 5, 5]
+    assert np.concatenate([ids for *_, ids in found]).tolist() == [int(i) for r in read for i in np.frombuffer(r.ids, "<u4")]
+
+
 def test_topk_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)] + [(200, None), (300, [1.0, None, 0.0, 0.0]), (400, [float("nan")] * 4)]
@@ -483,6 +531,18 @@ def test_pipeline_stages_keep_their_columns(spark):
     assert corpus_pipeline.pack_windows(spark, docs, SF).where("length > 4096").count() == 0
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None, None)] * 3 + [(None, "a b", "s")] * 2 + [(7, "", "s"), (7, " ", "s"), (8, "one two", None)]])
+def test_pipeline_with_odd_or_no_rows(spark, tmp_path, rows):
+    """Null and repeated ids, null sources and no rows at all: of the equal texts one stays, and every one kept is packed."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == ({None, 7, 8} if rows else set())
+    assert all(r.start == 0 and r.length == r.doc_tokens for r in pieces)
+
+
 def brute_mix(rows):
     """(doc_id, text) of each use; rows are (doc_id, text, source)."""
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
