@@ -49,8 +49,9 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
-def rouge_n(generated: Column, truth: Column, n: int) -> Column:
-    grams = lambda c: let(rouge_tokens(c), lambda t: ngrams(t, n))
+def rouge_n(generated: Column, truth: Column, n: int, stem: Callable[[Column], Column] | None = None) -> Column:
+    """F-measure of common n-grams; ``stem`` maps the array of a text's tokens, such as :func:`pathloom.functions.stemming.porter`."""
+    grams = lambda c: let(rouge_tokens(c) if stem is None else stem(rouge_tokens(c)), lambda t: ngrams(t, n))
     return _f_of(grams(generated), grams(truth), overlap)
 
 
@@ -72,8 +73,8 @@ def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def rouge_l(generated: Column, truth: Column) -> Column:
-    a, b = rouge_tokens(generated), rouge_tokens(truth)
+def rouge_l(generated: Column, truth: Column, stem: Callable[[Column], Column] | None = None) -> Column:
+    a, b = (rouge_tokens(c) if stem is None else stem(rouge_tokens(c)) for c in (generated, truth))
     return f_measure(_lcs(a, b), F.size(a), F.size(b))
 
 

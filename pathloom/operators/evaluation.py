@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,12 @@ def answer(df: DataFrame, retrieval: str = "path") -> DataFrame:
     return df.withColumns({"context_tokens": word_count("context"), "prompt_tokens": word_count("prompt"), "completion_tokens": F.when(~empty, word_count("generated")).otherwise(0)})
 
 
-def score(df: DataFrame, generated: str = "generated", truth: str = "truth", error: str = "error", vectors: tuple[str, str] | None = None) -> DataFrame:
-    """Adds the seven metrics; 0 where there is an error or no answer."""
+def score(df: DataFrame, generated: str = "generated", truth: str = "truth", error: str = "error", vectors: tuple[str, str] | None = None, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds the seven metrics, ROUGE of stems if ``stem`` is given; 0 where there is an error or no answer."""
     g, t = F.col(generated), F.col(truth)
     ok = F.col(error).isNull() & (F.coalesce(g, F.lit("")) != "")
     sim = M.cosine(F.col(vectors[0]), F.col(vectors[1])) if vectors else F.lit(0.0)
-    values = (M.exact_match(g, t), M.token_f1(g, t), M.rouge_n(g, t, 1), M.rouge_n(g, t, 2), M.rouge_l(g, t), sim, M.bleu4(g, t))
+    values = (M.exact_match(g, t), M.token_f1(g, t), M.rouge_n(g, t, 1, stem), M.rouge_n(g, t, 2, stem), M.rouge_l(g, t, stem), sim, M.bleu4(g, t))
     return df.withColumns({name: F.when(ok, v).otherwise(0.0) for name, v in zip(METRICS, values, strict=True)})
 
 

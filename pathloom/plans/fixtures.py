@@ -101,7 +101,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return spread(table) if name == "documents" else table
-    for other in (*TABLES, *VIEWS):
-        if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", VIEWS[name]):
-            view(spark, sf_dir, other).createOrReplaceTempView(other)
-    return spark.sql(re.sub(r", chr\(10\) ORDER BY (\w+)\)", r", chr(10)) WITHIN GROUP (ORDER BY \1)", VIEWS[name]))
+    used = [other for other in (*TABLES, *VIEWS) if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", VIEWS[name])]
+    for other in used:  # under names that no caller's view has
+        view(spark, sf_dir, other).createOrReplaceTempView(f"__pathloom_{other}")
+    sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 __pathloom_\2", VIEWS[name])
+    return spark.sql(re.sub(r", chr\(10\) ORDER BY (\w+)\)", r", chr(10)) WITHIN GROUP (ORDER BY \1)", sql))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,10 +19,11 @@ Extractor = Callable[[bytes], str | None]
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf", extract: dict[str, Extractor] | None = None) -> DataFrame:
     """(path, text) of the files of a folder, not of its subfolders; ``extract`` gives a reader by lower-case ending.
 
-    Other endings are read as UTF-8.  A file that cannot be read or holds no
-    text is left out.  PDF files need a reader: none is built in.
+    Other endings are read as UTF-8, and PDF files by :func:`pdf_text` unless
+    ``extract`` says otherwise.  A file that cannot be read or holds no text is
+    left out.
     """
-    readers = dict(extract or {})
+    readers = {"pdf": pdf_text} | dict(extract or {})
 
     @F.pandas_udf("string")
     def text_of(paths: pd.Series, contents: pd.Series) -> pd.Series:
@@ -43,6 +45,15 @@ def pages_to_text(pages: list[str | None]) -> str:
     return "".join(f"{p}\n" for p in pages if p)
 
 
+def pdf_text(content: bytes) -> str | None:
+    """The text of a PDF file, page by page; needs the package pypdf where it runs, and gives nothing without it."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        return None
+    return pages_to_text([page.extract_text() for page in PdfReader(io.BytesIO(content)).pages])
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """A question table from CSV: all columns text, nulls empty; required columns must be there."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -3,13 +3,16 @@ import json
 import math
 import random
 import re
+import sys
 import threading
+import types
 
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.engine import Config, Engine
 from pathloom.functions import metrics as M
+from pathloom.functions import stemming
 from pathloom.functions import text as T
 from pathloom.functions.tokenize import WhitespaceTokenizer
 from pathloom.operators import chunking, embedding, graph, retrieval
@@ -135,6 +138,35 @@ def test_metric_values(spark):
     assert rows[1].b == pytest.approx(math.exp(sum(math.log(x) for x in (4 / 5, 3 / 4, 2 / 3, 1 / 2)) / 4))
 
 
+def test_porter_stems(spark):
+    known = "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit valenci:valenc digitizer:digit radicalli:radic vietnamization:vietnam operator:oper feudalism:feudal hopefulness:hope formaliti:formal sensibiliti:sensibl triplicate:triplic formative:form electrical:electr goodness:good revival:reviv allowance:allow airliner:airlin adjustable:adjust replacement:replac adoption:adopt homologou:homolog communism:commun probate:probat rate:rate cease:ceas controll:control roll:roll"
+    for pair in known.split():
+        word, want = pair.split(":")
+        assert stemming.stem(word) == want, word
+    df = spark.createDataFrame([("The cats were running", "the cat runs")], "g string, t string")
+    row = df.select(M.rouge_n(F.col("g"), F.col("t"), 1, stemming.porter).alias("s"), M.rouge_n(F.col("g"), F.col("t"), 1).alias("p"), M.rouge_l(F.col("g"), F.col("t"), stemming.porter).alias("l")).first()
+    assert row.p == pytest.approx(2 / 7) and row.s == row.l == pytest.approx(6 / 7)
+
+
+def test_pdf_needs_its_package(monkeypatch):
+    assert files.pdf_text(b"%PDF") is None
+    page = lambda t: types.SimpleNamespace(extract_text=lambda: t)
+    fake = types.SimpleNamespace(PdfReader=lambda content: types.SimpleNamespace(pages=[page(content.read().decode()), page(None), page("two")]))
+    monkeypatch.setitem(sys.modules, "pypdf", fake)
+    assert files.pdf_text(b"one") == "one\ntwo\n"
+
+
+def test_result_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None, 0.5, 3), (2, "b", "bad", 0.0, -1)], "qid int, method string, error string, f1 double, context_tokens int")
+    files.write_results(rows, str(tmp_path / "by"))
+    files.write_results(rows, str(tmp_path / "all"), by_method=False)
+    files.write_summary(rows, str(tmp_path / "means"))
+    assert spark.read.csv(str(tmp_path / "by"), header=True).where("method = 'b'").first().error == "bad"
+    assert spark.read.csv(str(tmp_path / "all"), header=True).count() == 2
+    means = {r.method: r for r in spark.read.csv(str(tmp_path / "means"), header=True).collect()}
+    assert (means["a"].avg_f1, means["a"].avg_context_tokens, means["b"].n_errors, means["b"].avg_context_tokens) == ("0.5", "3.0", "1", "0.0")
+
+
 def test_upserts_are_idempotent(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
