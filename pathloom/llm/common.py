@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -10,6 +13,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,17 @@ def release(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: workers stay for the next job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # (another C library)
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: they get its folder in their PYTHONPATH."""
     top = str(Path(__file__).resolve().parents[2])
@@ -72,6 +87,9 @@ def ship(spark: SparkSession) -> None:
     parts = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if top not in parts:
         env["PYTHONPATH"] = os.pathsep.join([top, *parts])
+    # texts are long: smaller batches than Spark's default hold less at a time on both sides; a session's own choice stays
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, "1000")
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
     env.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import keep, release, ship, text_of
+from pathloom.llm.common import keep, release, ship, text_of, tidy
 from pathloom.llm.components import components
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -175,6 +175,7 @@ def _sign(size: int, bands: int, rows: int):
                     names=["doc_id", "mark", "digest", "n", "keys", "lanes"],
                 )
         _hashes.clear()
+        tidy()
 
     return run
 
@@ -187,6 +188,7 @@ def _sets(size: int):
                 found = [shingles(words_of(t.as_py()), size).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "set"])
         _hashes.clear()
+        tidy()
 
     return run
 
@@ -283,6 +285,7 @@ def _nearest(percent: int, m: int, most: int):
                 held = 0
         if held:
             yield out()
+        tidy()
 
     return run
 
@@ -306,6 +309,7 @@ def _open_rows(percent: int, m: int):
                     take[others[first]] = True
             if take.any():
                 yield pa.RecordBatch.from_arrays(cell.columns[:3], names=["key", "cell", "node"]).filter(pa.array(take))
+        tidy()
 
     return run
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import keep, release, ship, text_of
+from pathloom.llm.common import keep, release, ship, text_of, tidy
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -243,6 +243,7 @@ def _frequencies(shared):
                 n += 1
         held = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), -1], pa.int32()), pa.array([*found[held].tolist(), n], pa.int64())], names=["term", "n"])
+        tidy()
 
     return run
 
@@ -311,6 +312,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             near = [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found]
             what = pa.list_(pa.struct([("doc_id", b.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(near, what)], names=["doc_id", "score", "evidence"])
+        m._seen.clear()
+        tidy()
 
     found = docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double,label:int>>")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
