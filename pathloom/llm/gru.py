@@ -93,32 +93,32 @@ def run_cell(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, fresh: np
     """States (steps, hidden, lanes) after each row of ``ids`` (steps, lanes), from state ``h`` (hidden, lanes); where ``fresh``, a text begins and the state is 0.
 
     Gates are (1 + s) / 2 and the candidate is s, with s of :func:`_soft`.
-    Lanes come last, so each operation runs over long contiguous rows.
+    Lanes come last, so each operation runs over long contiguous rows.  To
+    ``trace`` go the gates and candidates, and the products of ``turn``, of all steps.
     """
     n = len(h)
     turned = np.ascontiguousarray(p["turn"].T)
     out = np.empty((len(ids), *h.shape), F32)
-    begins = fresh.any(axis=1)
-    table, gate = p["table"], p["gate"][:, None]
-    for t in range(len(ids)):
-        given = np.ascontiguousarray(table[ids[t]].T)
-        given += gate
+    begins = fresh.any(axis=1).tolist()
+    # the gate's bias goes to whichever has fewer rows
+    given = (p["table"] + p["gate"])[ids] if ids.size > len(p["table"]) else p["table"][ids] + p["gate"]
+    given = np.ascontiguousarray(given.transpose(0, 2, 1))
+    inners = np.empty((len(ids) if trace is not None else 1, *given.shape[1:]), F32)
+    if trace is not None:
+        trace += [given, inners]
+    for t, x in enumerate(given):
         if begins[t]:
             h = np.where(fresh[t], F32(0), h)
-        inner = turned @ h
-        both = given[: 2 * n]
+        inner = np.matmul(turned, h, out=inners[t if trace is not None else 0])
+        both, new = x[: 2 * n], x[2 * n :]
         both += inner[: 2 * n]
         _soft(both)
         both += F32(1)
         both *= F32(0.5)
-        reset, update = both[:n], both[n:]
-        new = given[2 * n :]
-        new += reset * inner[2 * n :]
+        new += both[:n] * inner[2 * n :]
         _soft(new)
-        if trace is not None:
-            trace.append((h, inner[2 * n :], reset, update, new))
         h = np.subtract(h, new, out=out[t])
-        h *= update
+        h *= both[n:]
         h += new
     return out
 
@@ -128,6 +128,10 @@ def _exp_rows(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], F32)
+
+
 def bounded(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Output weights so limited that a logit lies between -85 and 85, whatever the state (of at most 1 in size)."""
     limit = F32(55 / p["turn"].shape[0])
@@ -138,15 +142,15 @@ def bounded(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return p
 
 
-def _by_class(shape: Shape, targets: np.ndarray):
-    """(class, positions) of the targets that are words."""
+def _by_class(shape: Shape, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Positions of the targets that are words, sorted by class, their classes, and (class, from, to) of each class there."""
     words = np.flatnonzero(targets < shape.words)
-    kinds = targets[words] // shape.width
+    kinds = (targets[words] // shape.width).astype(np.uint16)  # numpy sorts 16 bits by radix
     order = np.argsort(kinds, kind="stable")
-    words, kinds = words[order], kinds[order]
-    cuts = np.searchsorted(kinds, np.arange(shape.word_classes + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        yield int(c), words[cuts[c] : cuts[c + 1]]
+    counts = np.bincount(kinds, minlength=shape.word_classes)
+    ends = np.cumsum(counts)
+    present = np.flatnonzero(counts)
+    return words[order], kinds[order].astype(np.int64), list(zip(present.tolist(), (ends - counts)[present].tolist(), ends[present].tolist(), strict=True))
 
 
 def class_of(shape: Shape, targets: np.ndarray) -> np.ndarray:
@@ -162,12 +166,16 @@ def log_probs(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, target
         x = states[part] @ p["to_class"]
         x += p["class_bias"]
         picked = x[np.arange(len(x)), kinds[part]]
-        out[part] = picked - np.log(_exp_rows(x).sum(axis=1))
-    for c, at in _by_class(shape, targets):
-        y = states[at] @ p["to_word"][c]
+        out[part] = picked - np.log(_row_sums(_exp_rows(x)))
+    at, _, spans = _by_class(shape, targets)
+    own, slots = states[at], targets[at] % shape.width
+    logs = np.empty(len(at), F32)
+    for c, first, last in spans:
+        y = own[first:last] @ p["to_word"][c]
         y += p["word_bias"][c]
-        picked = y[np.arange(len(at)), targets[at] - c * shape.width]
-        out[at] += picked - np.log(_exp_rows(y).sum(axis=1))
+        picked = y[np.arange(last - first), slots[first:last]]
+        logs[first:last] = picked - np.log(_row_sums(_exp_rows(y)))
+    out[at] += logs
     return out
 
 
@@ -237,76 +245,111 @@ class Trainer:
         self.shape, self.p, self.seen, self.rate = shape, params, seen, F32(rate)
 
     def _step(self, name: str, at, grad: np.ndarray) -> None:
-        seen = self.seen[name]
-        seen[at] += grad * grad
-        self.p[name][at] -= self.rate * grad / (np.sqrt(seen[at]) + F32(1e-6))
+        seen = self.seen[name][at]
+        seen += grad * grad
+        if not isinstance(at, slice):
+            self.seen[name][at] = seen
+        move = np.sqrt(seen)
+        move += F32(1e-6)
+        np.divide(grad, move, out=move)
+        move *= self.rate
+        self.p[name][at] -= move
 
     def window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, float]:
-        """One window of (steps, lanes): a step of all weights; returns the state to carry on and the summed log-probability."""
+        """One window of (steps, lanes): a step of all weights; returns the state to carry on and the summed log-probability.
+
+        What does not hang on the next step's gradient is computed for all steps
+        and classes at once: calls cost more here than numbers.
+        """
         shape, p, n = self.shape, self.p, self.shape.hidden
+        steps, lanes = inputs.shape
         trace: list = []
         states = run_cell(p, h, inputs, fresh, trace)
-        flat, y = states.transpose(0, 2, 1)[valid], targets[valid]
+        full = bool(valid.all())
+        by_lane = states.transpose(0, 2, 1)
+        flat, y = (by_lane.reshape(-1, n), targets.reshape(-1)) if full else (by_lane[valid], targets[valid])
         scale = F32(1 / max(1, len(y)))
         row = np.arange(len(y))
         d = flat @ p["to_class"]
         d += p["class_bias"]
         kinds = class_of(shape, y)
         picked = d[row, kinds]
-        sums = _exp_rows(d).sum(axis=1)
+        sums = _row_sums(_exp_rows(d))
         total = float((picked - np.log(sums)).sum())
         d *= (scale / sums)[:, None]
         d[row, kinds] -= scale
         back = d @ p["to_class"].T
         updates = [("to_class", slice(None), flat.T @ d), ("class_bias", slice(None), d.sum(axis=0))]
-        classes, word_grads, bias_grads = [], [], []
-        for c, at in _by_class(shape, y):
-            own = flat[at]
-            e = own @ p["to_word"][c]
-            e += p["word_bias"][c]
-            row, slot = np.arange(len(at)), y[at] - c * shape.width
+        at, kinds, spans = _by_class(shape, y)
+        if spans:
+            own, to_word = flat[at], p["to_word"]
+            e = np.empty((len(at), shape.width), F32)
+            for c, first, last in spans:
+                np.matmul(own[first:last], to_word[c], out=e[first:last])
+            e += p["word_bias"][kinds]
+            row, slot = row[: len(at)], y[at] - kinds * shape.width
             picked = e[row, slot]
-            sums = _exp_rows(e).sum(axis=1)
+            sums = _row_sums(_exp_rows(e))
             total += float((picked - np.log(sums)).sum())
             e *= (scale / sums)[:, None]
             e[row, slot] -= scale
-            back[at] += e @ p["to_word"][c].T
-            classes.append(c)
-            word_grads.append(own.T @ e)
-            bias_grads.append(e.sum(axis=0))
-        if classes:
-            updates += [("to_word", classes, np.stack(word_grads)), ("word_bias", classes, np.stack(bias_grads))]
-        by_lane = np.zeros((*inputs.shape, n), F32)
-        by_lane[valid] = back
-        gradient = np.ascontiguousarray(by_lane.transpose(0, 2, 1))
-        given = np.empty((len(inputs), 3 * n, inputs.shape[1]), F32)
-        through = np.empty_like(given)
-        carry = np.zeros_like(h)
-        for t in range(len(inputs) - 1, -1, -1):
-            before, inner, reset, update, new = trace[t]
-            dh = gradient[t]
+            backs, word_grads = np.empty((len(at), n), F32), np.empty((len(spans), n, shape.width), F32)
+            for grad, (c, first, last) in zip(word_grads, spans, strict=True):
+                part = e[first:last]
+                np.matmul(part, to_word[c].T, out=backs[first:last])
+                np.matmul(own[first:last].T, part, out=grad)
+            back[at] += backs
+            classes = slice(None) if len(spans) == shape.word_classes else [c for c, _, _ in spans]
+            updates += [("to_word", classes, word_grads), ("word_bias", classes, np.add.reduceat(e, [first for _, first, _ in spans], axis=0))]
+        if not full:
+            spread = np.zeros((steps, lanes, n), F32)
+            spread[valid] = back
+            back = spread
+        gradient = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
+        gates, inner = trace[0][:, : 2 * n], trace[1][:, 2 * n :]
+        reset, update, new = gates[:, :n], gates[:, n:], trace[0][:, 2 * n :]
+        before = np.concatenate([h[None], states[:-1]])
+        begins = fresh.any(axis=1).tolist()
+        if any(begins):
+            before *= ~fresh[:, None, :]
+        slope = np.minimum(gates, 1 - gates)  # twice its square is a gate's slope
+        slope *= slope
+        slope *= F32(2)
+        # factors of the step's gradient for candidate and update, and of the candidate's for reset and what goes back through it
+        factors, further = np.empty((2, steps, 2, n, lanes), F32)
+        np.abs(new, out=factors[:, 0])
+        np.subtract(1, factors[:, 0], out=factors[:, 0])
+        factors[:, 0] *= factors[:, 0]
+        factors[:, 0] *= 1 - update
+        np.subtract(before, new, out=factors[:, 1])
+        factors[:, 1] *= slope[:, n:]
+        np.multiply(inner, slope[:, :n], out=further[:, 0])
+        further[:, 1] = reset
+        # gradients of candidate, reset, update (these of the sums in them), and candidate times reset
+        moved = np.empty((steps, 4, n, lanes), F32)
+        turn, carry = p["turn"], np.zeros_like(h)
+        for t in range(steps - 1, -1, -1):
+            dh, step = gradient[t], moved[t]
             dh += carry
-            d_reset, d_update, d_new = given[t, :n], given[t, n : 2 * n], given[t, 2 * n :]
-            np.multiply(dh, 1 - update, out=d_new)
-            d_new *= (1 - np.abs(new)) ** 2
-            np.multiply(dh, before - new, out=d_update)
-            d_update *= F32(0.5) * (1 - np.abs(2 * update - 1)) ** 2
-            np.multiply(d_new, inner, out=d_reset)
-            d_reset *= F32(0.5) * (1 - np.abs(2 * reset - 1)) ** 2
-            through[t, : 2 * n] = given[t, : 2 * n]
-            np.multiply(d_new, reset, out=through[t, 2 * n :])
-            carry = dh * update
-            carry += p["turn"] @ through[t]
-            carry *= ~fresh[t]
-        rows = given.transpose(0, 2, 1).reshape(-1, 3 * n)
-        d_turn = np.tensordot(np.stack([x[0] for x in trace]), through, axes=((0, 2), (0, 2)))
-        flat_in = inputs.reshape(-1)
+            np.multiply(factors[t], dh, out=step[::2])
+            np.multiply(further[t], step[0], out=step[1::2])
+            carry = turn @ step[1:].reshape(3 * n, lanes)
+            dh *= update[t]
+            carry += dh
+            if begins[t]:
+                carry *= ~fresh[t]
+        moved = moved.reshape(steps, 4 * n, lanes)
+        d_turn = np.matmul(before, moved[:, n:].transpose(0, 2, 1)).sum(axis=0)
+        flat_in = inputs.reshape(-1).astype(np.uint16 if shape.start < 1 << 16 else np.int64)
         order = np.argsort(flat_in, kind="stable")
-        ids, first = np.unique(flat_in[order], return_index=True)
-        updates += [("table", ids, np.add.reduceat(rows[order], first, axis=0)), ("turn", slice(None), d_turn), ("gate", slice(None), rows.sum(axis=0))]
-        norm = np.sqrt(sum(float((g * g).sum()) for _, _, g in updates))
+        ids = flat_in[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows = moved[:, : 3 * n].transpose(0, 2, 1).reshape(-1, 3 * n)
+        given = np.roll(np.add.reduceat(rows[order], starts, axis=0), -n, axis=1)
+        updates += [("table", ids[starts], given), ("turn", slice(None), d_turn), ("gate", slice(None), given.sum(axis=0))]
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for _, _, g in updates))
         for name, at, g in updates:
-            self._step(name, at, g * F32(min(1.0, 1.0 / max(norm, 1e-12))))
+            self._step(name, at, g if norm <= 1 else g * F32(1 / norm))
         return states[-1], total
 
     def train(self, texts: list[np.ndarray], firsts: np.ndarray, window: int = 16, lanes: int = 64) -> float:

@@ -21,14 +21,12 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +34,6 @@ from pyspark.sql import functions as F
 from pathloom.llm import gru
 from pathloom.llm.common import keep, release, ship, text_of
 
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 #: Stands for the end of a text in the counts; no word is empty.
 END = ""
 
@@ -58,12 +54,28 @@ class Settings:
         return gru.Shape(self.words, self.width, TAILS, self.hidden)
 
 
-def tokens(text: str) -> list[str]:
-    """Words between ASCII blanks, A-Z in lower case; the end is not among them."""
-    words = _SPLIT.split(text.lower() if text.isascii() else text.translate(_UPPER))
-    if words and not words[-1]:
-        words.pop()
-    return words[1:] if words and not words[0] else words
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII blanks, A-Z in lower case, of all texts in one array, and how many each text has; ends are not among them."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = parts.flatten(), parts.offsets.to_numpy()
+    filled = pc.binary_length(words).to_numpy() > 0  # blanks at either end of a text leave an empty part
+    if not filled.all():
+        words, ends = words.filter(pa.array(filled)), np.concatenate([[0], np.cumsum(filled)])[ends - ends[0]]
+    return words, np.diff(ends).astype(np.int64)
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[list[pa.RecordBatch], list[pa.Array], list[np.ndarray]]]:
+    """Batches with their :func:`split_words`, as many together as first hold ``limit`` words: tables of words are built once for them."""
+    held: list[tuple] = []
+    n = 0
+    for b in batches:
+        held.append((b, *split_words(b.column(column))))
+        n += len(held[-1][1])
+        if n >= limit:
+            yield tuple(map(list, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(list, zip(*held, strict=True)))
 
 
 #: Groups of first letters x plain or other last character x up to 8 characters or more.
@@ -71,50 +83,43 @@ _HEADS = 8
 TAILS = 4 * _HEADS
 
 
-class _TailClasses(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        head = xxhash.xxh32_intdigest(word[:2].encode("utf-8", "surrogatepass")) % _HEADS
-        found = self[word] = 4 * head + 2 * (not word[-1].isalpha()) + (len(word) > 8)
-        return found
+def tail_class(word: str) -> int:
+    """A function of the spelling alone."""
+    head = xxhash.xxh32_intdigest(word[:2].encode("utf-8", "surrogatepass")) % _HEADS
+    return 4 * head + 2 * (not word[-1].isalpha()) + (len(word) > 8)
 
 
-#: word -> tail class; a function of the spelling alone.
-_tails = _TailClasses()
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """:func:`tail_class` of each word, from the few different beginnings and last characters."""
 
+    def each(column: pa.Array, of) -> np.ndarray:
+        found = column.dictionary_encode()
+        return np.array([of(x) for x in found.dictionary.to_pylist()], np.int64)[found.indices.to_numpy()]
 
-def tail_class(word: str) -> int:
-    return _tails[word]
+    head = each(pc.utf8_slice_codeunits(words, 0, 2), lambda x: xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % _HEADS)
+    odd = each(pc.utf8_slice_codeunits(words, -1), lambda x: not x.isalpha())
+    return 4 * head + 2 * odd + (pc.utf8_length(words).to_numpy() > 8)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-        held.clear()
-        return out
-
-    for b in batches:
-        for t in b.column(0):
-            held.update(tokens(t.as_py()))
-        held[END] += b.num_rows
-        if len(held) >= 400_000:
-            yield flush()
-    if held:
-        yield flush()
+    texts = 0
+    for held, words, _ in _in_chunks((b.select([0]) for b in batches), 0, 4_000_000):
+        texts += sum(b.num_rows for b in held)
+        found = pc.value_counts(pa.chunked_array(words, words[0].type))
+        yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["word", "c"])
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.string()), pa.array([texts], pa.int64())], names=["word", "c"])
 
 
 def _tail_sums(top: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, kinds = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
+        known = pa.array(sorted(top), pa.string())
         for b in batches:
-            for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if word not in top:
-                    k = tail_class(word)
-                    sums[k] += c
-                    kinds[k] += 1
+            b = b.filter(pc.invert(pc.is_in(b.column(0), value_set=known)))
+            k = tail_classes(b.column(0))
+            np.add.at(sums, k, b.column(1).to_numpy())
+            kinds += np.bincount(k, minlength=TAILS)
         yield pa.RecordBatch.from_arrays([pa.array(range(TAILS), pa.int32()), pa.array(sums), pa.array(kinds)], names=["k", "n", "kinds"])
 
     return run
@@ -130,13 +135,13 @@ class Vocabulary:
 
     def prepare(self) -> None:
         """Lookup tables, built once a process."""
-        if hasattr(self, "place"):
+        if hasattr(self, "known"):
             return
         s = self.settings
-        self.place = {w: i for i, w in enumerate(self.words)}
+        self.known = pa.array(self.words, pa.string())
         n = len(self.words)
         rest = -np.log10(self.tail_n + self.tail_kinds + 1.0)
-        kinds = np.array([tail_class(w) if w else 0 for w in self.words[s.words :]], np.int64)
+        kinds = tail_classes(self.known[s.words :])  # the end is before these
         logs = np.log10(self.counts + 1.0)
         self.log_count = np.append(logs, 0.0)  # the last place: a word that is not among these
         ids = np.arange(n + 1)
@@ -146,10 +151,11 @@ class Vocabulary:
         share[s.words : n] = logs[s.words :] + rest[kinds]
         self.share = share
         self.rest = rest
-        self.end = self.place.get(END, -1)
+        #: The place of the end, which has the first where there is a row to learn from.
+        self.end = 0 if n else n
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "log_count", "ids", "share", "rest", "end")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "log_count", "ids", "share", "rest", "end")}
 
 
 _ENCODED = "doc_id {kind}, learn boolean, n_tokens long, n_known long, base double, tail double, ids binary, rare array<string>"
@@ -159,32 +165,42 @@ def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         v.prepare()
-        get, n = v.place.get, len(v.words)
-        words_limit = v.settings.words
+        n, words_limit = len(v.words), v.settings.words
         each = math.log10(v.total + v.distinct + 1)
-        for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for t in b.column(2):
-                words = tokens(t.as_py())
-                words.append(END)
-                at = np.fromiter(map(get, words, repeat(n)), np.int64, len(words))
-                ids, tail = v.ids[at], float(v.share[at].sum())
-                missing = np.flatnonzero(at == n)
-                rare = [words[i] for i in missing]
-                if rare and rare[-1] == END:  # no row to learn from: the end is unseen, in the first tail class
-                    rare.pop()
-                    ids[-1] = words_limit
-                    tail += float(v.rest[0])
-                    missing = missing[:-1]
-                if rare:
-                    kinds = np.fromiter(map(_tails.__getitem__, rare), np.int64, len(rare))
-                    ids[missing] = words_limit + kinds
-                    tail += float(v.rest[kinds].sum())
-                row = (len(words), int((at < n).sum()), float(v.log_count[at].sum()) - len(words) * each, tail, ids.astype("<u2").tobytes(), rare)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, types, strict=True))], names=["doc_id", "learn", "n_tokens", "n_known", "base", "tail", "ids", "rare"])
+        for held, found, sizes in _in_chunks(batches, 2, 2_000_000):
+            places = pc.index_in(pa.chunked_array(found, found[0].type), value_set=v.known).fill_null(n).to_numpy()
+            parts = np.split(places, np.cumsum([len(x) for x in found])[:-1])
+            for b, words, size, place in zip(held, found, sizes, parts, strict=True):
+                if not b.num_rows:
+                    continue
+                n_tokens = size + 1
+                ends = np.cumsum(n_tokens) - 1
+                starts = ends - size
+                inside = np.ones(len(words) + len(size), bool)
+                inside[ends] = False
+                at = np.full(len(inside), v.end)
+                at[inside] = place
+                ids, share = v.ids[at], v.share[at]
+                unseen = inside & (at == n)
+                rare = words.filter(pa.array(place == n))
+                kinds = tail_classes(rare)
+                ids[unseen], share[unseen] = words_limit + kinds, v.rest[kinds]
+                if v.end == n:  # no row to learn from: the end is unseen, in the first tail class
+                    ids[ends], share[ends] = words_limit, v.rest[0]
+                sums = [np.add.reduceat(x, starts) for x in ((at < n).astype(np.int64), v.log_count[at], share, unseen.astype(np.int32))]
+                bounds = np.concatenate([[0], 2 * np.cumsum(n_tokens)])
+                data = ids.astype("<u2").tobytes()
+                columns = [
+                    b.column(0),
+                    b.column(1),
+                    pa.array(n_tokens),
+                    pa.array(sums[0]),
+                    pa.array(sums[1] - n_tokens * each),
+                    pa.array(sums[2]),
+                    pa.array([data[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums[3])]), pa.int32()), rare.cast(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "learn", "n_tokens", "n_known", "base", "tail", "ids", "rare"])
 
     return run
 

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables: nulls, blanks, ties, repeated rows, clashing columns, empty tables."""
 
 import collections
+import cProfile
 import fractions
 import hashlib
 import html
@@ -504,6 +505,48 @@ def test_language_model_learns_from_every_run_once(monkeypatch):
     assert sum(counts) == sum(map(len, texts)) and min(counts) > 0
 
 
+def calls_of(run):
+    """How many functions a run calls, from Python."""
+    profile = cProfile.Profile()
+    profile.runcall(run)
+    return sum(x.callcount for x in profile.getstats())
+
+
+def test_language_model_works_on_whole_batches():
+    texts = ["", " ", "\n\t a B\x0b\x0c\rc ", "\u00c9 \u0130X\x85y z\x1cq", "\u00c0B C d\x00e a", "x" * 9 + " \u65e5\u672c9 \ufb01.", "\u212a K \u017f 7-", "a  b"] * 250
+    plain = [[*re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)})), lm_score.END] for t in texts]
+    counts = collections.Counter(w for words in plain for w in words)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([True] * 500), pa.array(texts[k : k + 500])], names=["doc_id", "learn", "text"]) for k in range(0, 2000, 500)]
+    got, encoded = collections.Counter(), []
+
+    def count():
+        for b in lm_score._count(b.select([2]) for b in batches):
+            for word, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                got[word] += c
+
+    assert calls_of(count) < len(texts) and got == counts
+    words = [w for w in counts if w]
+    assert lm_score.tail_classes(pa.array(words)).tolist() == list(map(lm_score.tail_class, words))
+    settings = lm_score.Settings(words=3, width=2, hidden=2)
+    for known in ([lm_score.END, "a", "b", "c", "k"], []):
+        v = lm_score.Vocabulary(known, [counts[w] for w in known], counts.total(), len(counts), [5] * lm_score.TAILS, [2] * lm_score.TAILS, settings)
+        encoded.clear()
+        assert calls_of(lambda v=v: encoded.extend(lm_score._encode(types.SimpleNamespace(value=v))(iter(batches)))) < len(texts)
+        rows = pa.Table.from_batches(encoded).to_pylist()
+        assert len(rows) == len(plain)
+        for row, own in zip(rows, plain, strict=True):
+            ids = [known.index(w) if w in known[:3] else 3 + (lm_score.tail_class(w) if w else 0) for w in own]
+            assert np.frombuffer(row["ids"], "<u2").tolist() == ids and row["rare"] == [w for w in own if w and w not in known]
+            assert row["n_tokens"] == len(own) and row["n_known"] == sum(w in known for w in own)
+            tail = sum((math.log10(counts[w] + 1) if w in known else 0) - math.log10(8) for w in own if w not in known[:3])
+            assert row["tail"] == pytest.approx(tail, abs=1e-9)
+    shape, rng = lm_score.Settings().shape, np.random.default_rng(5)
+    start = gru.initial(shape, np.arange(2048) + 1.0, np.ones(lm_score.TAILS))
+    trainer = gru.Trainer(shape, start, {k: np.full(x.shape, 1e-4, np.float32) for k, x in start.items()}, 0.1)
+    inputs, targets = rng.integers(0, shape.start, (2, 16, 64))
+    assert calls_of(lambda: trainer.window(np.zeros((16, 64), np.float32), inputs, targets, np.zeros((16, 64), bool), np.ones((16, 64), bool))) < 400
+
+
 def test_lm_score_base_equals_sql(spark, duck, docs, none):
     duck.create_function("crc7", lambda i: zlib.crc32(str(i).encode()) % 7, ["BIGINT"], "BIGINT")
     want = {r[0]: r for r in duck.execute(lm_score.BASE_SQL.format(learn="crc7(doc_id) <> 2")).fetchall()}
