@@ -31,7 +31,7 @@ _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int6
 
 def _writer(path: str, end_id: int, shard_ids: int, block: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, special_as_text=special_as_text).encode, int(end_id).to_bytes(4, "little")
+        encode_all, end = encoder(path, special_as_text=special_as_text).encode_all, int(end_id).to_bytes(4, "little")
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         texts: list[bytes] = []
@@ -48,9 +48,9 @@ def _writer(path: str, end_id: int, shard_ids: int, block: int, special_as_text:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1)), strict=True):
                 keys.append(key)
-                texts.append(encode(text.as_py()) + end)
+                texts.append(ids + end)
                 held += len(texts[-1]) // 4
                 if held >= shard_ids:
                     yield shard()

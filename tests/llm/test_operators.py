@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from pathloom.llm import common, components, exact_dedup, gru, html_text, labelled_pages, lm_score, mixing, near_dedup, packing, pii, queries, simple8b, token_files, topk, toxicity
 from pathloom.llm.common import fold
-from pathloom.llm.encoding import encoder, public_vocabulary
+from pathloom.llm.encoding import Encoder, encoder, public_vocabulary
 from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, source string, n long, key string, size int"
@@ -190,6 +190,35 @@ def test_encoder_equals_the_plain_library_call(name, as_text):
         assert own.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_encoding_together_equals_the_plain_library_call(name, as_text):
+    rng = random.Random(3)
+    bits = ["<|endoftext|>", "<|", "|>", " ", " ", "  ", "\n", "\t", "\xa0", "\x1c", "\x85", "\u2003", "Bc", "\u00e9", "\u00df", "\u0130", "\ufb01", "\ud55c", "12", "don't", ".", ",", "!?", "\u00aa", "\u00b5", "_", "incomprehensibilities", "x" * 30]
+    texts = ["", "\n", " a", "a ", "a\n", "\na", "y" * 300, *("".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(1000))]
+    words = ["".join(rng.choice("etaoinshrdluETA\u00e9") for _ in range(rng.randrange(1, 28))) + rng.choice(["", ".", ",", "...", '")']) for _ in range(4000)]
+    texts += [" ".join(words[k : k + 9]) + "\n" + words[k] for k in range(0, len(words), 9)]
+    plain, own = Tokenizer.from_file(public_vocabulary(name)), Encoder(public_vocabulary(name), special_as_text=as_text)
+    plain.encode_special_tokens = as_text
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for limit in (50, 1000, 8_000_000):  # many groups, and one
+        assert list(own.encode_all(pa.array(texts), limit)) == want
+    assert list(own.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_token_files_encode_words_together(monkeypatch):
+    rng, shards = random.Random(4), []
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(5, 15))) for _ in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([" ".join(words[k::100]) for k in range(100)])], names=["doc_id", "text"])
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    write = token_files._writer(public_vocabulary("byte_bpe_50k.json"), 2, 1 << 18, 128, False)
+    list(write(iter([batch.slice(0, 1)])))  # reads the vocabulary
+    assert calls_of(lambda: shards.extend(write(iter([batch])))) < len(words)
+    plain = Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json"))
+    ids = [i for t in batch.column(1).to_pylist() for i in [*plain.encode(t, add_special_tokens=False).ids, 2]]
+    assert [i for b in shards for data in b.column(5).to_pylist() for i in simple8b.read_shard(data)[2].tolist()] == ids
+
+
 @pytest.mark.parametrize("values", [[], [0], [1] * 500, list(range(3000)), [2**32 - 1, 0, 7], [50256] * 61])
 def test_simple8b_round_trip(values):
     ids = np.array(values, "<u4")
