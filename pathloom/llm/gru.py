@@ -267,11 +267,12 @@ class Trainer:
         states = run_cell(p, h, inputs, fresh, trace)
         full = bool(valid.all())
         by_lane = states.transpose(0, 2, 1)
-        flat, y = (by_lane.reshape(-1, n), targets.reshape(-1)) if full else (by_lane[valid], targets[valid])
+        y = targets.reshape(-1) if full else targets[valid]
+        flat = np.ones((len(y), n + 1), F32)  # a last column of ones takes the biases along
+        flat[:, :n] = by_lane.reshape(-1, n) if full else by_lane[valid]
         scale = F32(1 / max(1, len(y)))
         row = np.arange(len(y))
-        d = flat @ p["to_class"]
-        d += p["class_bias"]
+        d = flat @ np.concatenate([p["to_class"], p["class_bias"][None]])
         kinds = class_of(shape, y)
         picked = d[row, kinds]
         sums = _row_sums(_exp_rows(d))
@@ -279,28 +280,28 @@ class Trainer:
         d *= (scale / sums)[:, None]
         d[row, kinds] -= scale
         back = d @ p["to_class"].T
-        updates = [("to_class", slice(None), flat.T @ d), ("class_bias", slice(None), d.sum(axis=0))]
+        grad = flat.T @ d
+        updates = [("to_class", slice(None), grad[:n]), ("class_bias", slice(None), grad[n])]
         at, kinds, spans = _by_class(shape, y)
         if spans:
-            own, to_word = flat[at], p["to_word"]
+            own, to_word = flat[at], np.concatenate([p["to_word"], p["word_bias"][:, None]], axis=1)
             e = np.empty((len(at), shape.width), F32)
             for c, first, last in spans:
                 np.matmul(own[first:last], to_word[c], out=e[first:last])
-            e += p["word_bias"][kinds]
             row, slot = row[: len(at)], y[at] - kinds * shape.width
             picked = e[row, slot]
             sums = _row_sums(_exp_rows(e))
             total += float((picked - np.log(sums)).sum())
             e *= (scale / sums)[:, None]
             e[row, slot] -= scale
-            backs, word_grads = np.empty((len(at), n), F32), np.empty((len(spans), n, shape.width), F32)
+            backs, word_grads = np.empty((len(at), n), F32), np.empty((len(spans), n + 1, shape.width), F32)
             for grad, (c, first, last) in zip(word_grads, spans, strict=True):
                 part = e[first:last]
-                np.matmul(part, to_word[c].T, out=backs[first:last])
+                np.matmul(part, to_word[c, :n].T, out=backs[first:last])
                 np.matmul(own[first:last].T, part, out=grad)
             back[at] += backs
             classes = slice(None) if len(spans) == shape.word_classes else [c for c, _, _ in spans]
-            updates += [("to_word", classes, word_grads), ("word_bias", classes, np.add.reduceat(e, [first for _, first, _ in spans], axis=0))]
+            updates += [("to_word", classes, word_grads[:, :n]), ("word_bias", classes, word_grads[:, n])]
         if not full:
             spread = np.zeros((steps, lanes, n), F32)
             spread[valid] = back
@@ -340,13 +341,14 @@ class Trainer:
                 carry *= ~fresh[t]
         moved = moved.reshape(steps, 4 * n, lanes)
         d_turn = np.matmul(before, moved[:, n:].transpose(0, 2, 1)).sum(axis=0)
-        flat_in = inputs.reshape(-1).astype(np.uint16 if shape.start < 1 << 16 else np.int64)
-        order = np.argsort(flat_in, kind="stable")
-        ids = flat_in[order]
-        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        rows = moved[:, : 3 * n].transpose(0, 2, 1).reshape(-1, 3 * n)
-        given = np.roll(np.add.reduceat(rows[order], starts, axis=0), -n, axis=1)
-        updates += [("table", ids[starts], given), ("turn", slice(None), d_turn), ("gate", slice(None), given.sum(axis=0))]
+        present = np.zeros(shape.start + 1, np.int64)
+        present[inputs] = 1
+        ids = np.flatnonzero(present)
+        present[ids] = 3 * n * np.arange(len(ids))
+        # sums by id and row of the table's gradient, whose order is reset, update, candidate
+        cells = present[inputs][:, None, :] + np.roll(np.arange(3 * n), n)[:, None]
+        given = np.bincount(cells.reshape(-1), moved[:, : 3 * n].reshape(-1), 3 * n * len(ids)).reshape(-1, 3 * n).astype(F32)
+        updates += [("table", ids, given), ("turn", slice(None), d_turn), ("gate", slice(None), given.sum(axis=0))]
         norm = np.sqrt(sum(float(np.vdot(g, g)) for _, _, g in updates))
         for name, at, g in updates:
             self._step(name, at, g if norm <= 1 else g * F32(1 / norm))
