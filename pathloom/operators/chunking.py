@@ -61,10 +61,14 @@ def sentences(text: Column) -> Column:
 
 def split_long(sentence: Column, limit: int, tokenizer: WhitespaceTokenizer = WHITESPACE) -> Column:
     """A sentence of too many words in pieces: at ever weaker marks, each only where a piece is still too long, then by fixed windows."""
+
+    def cut_at(mark: str) -> Callable[[Column], Column]:
+        # of one argument: a second one, even with a default, gets the place in the array
+        return lambda p: F.when(tokenizer.count(p) > limit, F.filter(F.transform(F.split(p, mark), strip), lambda x: x != "")).otherwise(F.array(p))
+
     pieces = F.array(sentence)
     for mark in (";", ":", "—", r"\. ", r"\? ", "! "):
-        cut = lambda p, mark=mark: F.when(tokenizer.count(p) > limit, F.filter(F.transform(F.split(p, mark), strip), lambda x: x != "")).otherwise(F.array(p))
-        pieces = F.flatten(F.transform(pieces, cut))
+        pieces = F.flatten(F.transform(pieces, cut_at(mark)))
     return F.flatten(F.transform(pieces, lambda p: F.when(tokenizer.count(p) > limit, fixed_texts(p, limit, tokenizer=tokenizer)).otherwise(F.array(p))))
 
 

@@ -89,6 +89,21 @@ def test_hybrid_sections(spark):
         chunking.hybrid(F.col("text"), 5, 5)
 
 
+@pytest.mark.parametrize(
+    ("sentence", "pieces"),
+    [
+        ("a b 0; c 1 d; e f g 4.0.", ["a b 0", "c 1 d", "e f g 4.0."]),
+        ("a b: c d 5 e: f", ["a b", "c d 5 e", "f"]),
+        ("a 2 b — c d e—f", ["a 2 b", "c d e", "f"]),
+        ("a b c. d e? f g! h i", ["a b c", "d e", "f g! h i"]),  # the last piece is short enough by then
+        ("a b c? d e! f g h", ["a b c", "d e", "f g h"]),
+        ("0 1 2 3 4 5 6 7", ["0 1 2 3", "4 5 6 7"]),
+    ],
+)
+def test_long_sentences_are_cut_at_their_marks(spark, sentence, pieces):
+    assert one(spark, sentence, chunking.split_long(F.col("text"), 4)) == pieces
+
+
 def test_sentence_chunks_stay_within_the_limit(spark):
     rng = random.Random(3)
     text = " ".join(rng.choice(WORDS) + rng.choice(["", "", "", ".", ";", ":", "!"]) for _ in range(900))
