@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import metrics as M
@@ -18,9 +18,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _rounded(x: Column, places: int = 6) -> Column:
+    """As round() of DuckDB: what is rounded to zero keeps its sign, which Spark's own drops."""
+    near = F.round(x, places)
+    return F.when(near == 0, x * F.lit(0.0)).otherwise(near)
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Integers as long and doubles to six places, so both engines give the same values."""
-    kinds = {"int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long"), "double": lambda c: F.round(c, 6)}
+    kinds = {"int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long"), "double": lambda c: _rounded(F.col(c))}
     return df.select(*[kinds[t](c).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
 
 
@@ -587,7 +593,7 @@ def _(spark, sf):
 
 @query("l2_normalize", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS unit FROM e")
 def _(spark, sf):
-    return view(spark, sf, "embeddings").select("vec_id", F.transform(M.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return view(spark, sf, "embeddings").select("vec_id", F.transform(M.l2_normalize(F.col("embedding")), lambda x: _rounded(x)).alias("unit"))
 
 
 @query(

@@ -301,3 +301,16 @@ def test_stream_ingestion(spark, tmp_path):
     stream = spark.readStream.schema("filename string, text string").parquet(str(source))
     ingest_stream(stream, ("fixed_256",), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert current(spark.read.parquet(str(tmp_path / "out"))).count() == 1
+
+
+def test_rounded_zeros_keep_their_sign(spark, duck, tmp_path):
+    """Numbers of both signs that six places round to zero, as the SQL rounds them."""
+    from pathloom.plans import catalogue
+
+    spark.createDataFrame([(0, [-1e-7, 1e-7, 1.0]), (1, [1.0, -0.0, 0.0]), (2, [0.0, -0.5, -2e-7])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("l2_normalize", "cosine_pairs"):
+        got, want = sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect())), sorted(con.execute(catalogue.ORACLES[name]).fetchall())
+        assert repr(got) == repr(want)
+    assert repr(spark.range(1).select(catalogue._rounded(F.lit(-1e-7)).alias("x")).first().x) == "-0.0"
